@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from kinmap.llm.token_counts import op10_token_counts
+from kinmap.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op10_token_counts": op10_token_counts,
 }
 
