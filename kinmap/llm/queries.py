@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
 from kinmap.llm.token_counts import op10_token_counts
 from kinmap.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op9_secret_scan": op9_secret_scan,
     "op2_token_files": op2_token_files,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_secret_scan": OP9_SQL,
+}
