@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from kinmap.llm.decontaminate import OP3_SQL, op3_decontaminate
+from kinmap.llm.media import op8_media
 from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
 from kinmap.llm.token_counts import op10_token_counts
 from kinmap.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op8_media": op8_media,
     "op3_decontaminate": op3_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op2_token_files": op2_token_files,
