@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from kinmap.llm.decontaminate import OP3_SQL, op3_decontaminate
 from kinmap.llm.media import op8_media
+from kinmap.llm.quality import op5_quality
 from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
 from kinmap.llm.simhash import op1_simhash
 from kinmap.llm.token_counts import op10_token_counts
 from kinmap.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op5_quality": op5_quality,
     "op1_simhash": op1_simhash,
     "op8_media": op8_media,
     "op3_decontaminate": op3_decontaminate,
