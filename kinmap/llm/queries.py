@@ -9,8 +9,10 @@ from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
 from kinmap.llm.simhash import op1_simhash
 from kinmap.llm.token_counts import op10_token_counts
 from kinmap.llm.token_files import op2_token_files
+from kinmap.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op5_quality": op5_quality,
     "op1_simhash": op1_simhash,
     "op8_media": op8_media,
