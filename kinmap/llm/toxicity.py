@@ -54,7 +54,7 @@ def pooled(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+        self.vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.filters = rng.normal(0, 0.3, (DIM, len(SLOTS) * FILTERS)).astype(np.float32)
         self.shift = np.full(N, -0.1, np.float32)
         self.out = rng.normal(0, 0.3, 2 * N).astype(np.float32)
@@ -75,13 +75,17 @@ class Model:
         often = np.maximum(blocks + self.shift, 0).mean(axis=0)
         return float(high @ self.out[:N] + often @ self.out[N:] + self.bias[0])
 
-    def train(self, texts: list[bytes], labels: list[int], epochs: int = 10, rate: float = 0.08, batch: int = 16, seed: int = 4) -> None:
+    def train(self, texts: list[bytes], labels: list[int], epochs: int = 10, rate: float = 0.08, batch: int = 16, seed: int = 4, least_docs: int = 8, decay: float = 1e-3) -> None:
+        """Features in fewer than ``least_docs`` documents say nothing: their vectors are zero."""
         if len(set(labels)) < 2:
             return
         y = np.array(labels, np.float32)
         number: dict[bytes, int] = {}
         docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
         buckets = np.array([features(w) for w in number], np.int32).reshape(-1, 6)
+        spread = np.bincount(np.concatenate([np.unique(buckets[np.unique(d)]) for d in docs]), minlength=BUCKETS)
+        live_rows = (spread >= least_docs)[:, None]
+        self.vectors *= live_rows
         rng = np.random.default_rng(seed)
         weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())).astype(np.float32)
         seen = {k: np.full_like(getattr(self, k), 1e-4) for k in ("filters", "shift", "out", "bias")}
@@ -149,7 +153,7 @@ class Model:
                     used, first = np.unique(flat[by], return_index=True)
                     total = np.add.reduceat(gain[by], first, axis=0)
                     seen_rows[used] += (total * total).mean(axis=1, keepdims=True)
-                    self.vectors[used] -= rate * total / np.sqrt(seen_rows[used])
+                    self.vectors[used] -= live_rows[used] * (rate * total / np.sqrt(seen_rows[used]) + decay * self.vectors[used])
         self.trained = True
 
     def calibrate(self, scores: list[float], labels: list[int], langs: list[str | None], least: int = 20) -> None:
