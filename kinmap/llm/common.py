@@ -68,12 +68,13 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
             yield batch.slice(start)
 
 
-def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable[[list[bytes]], list]], text: str = "text") -> DataFrame:
+def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable[..., list]], text: str = "text", also: str | None = None) -> DataFrame:
     """Columns computed from each whole text, beside the ``keep`` columns.
 
     ``make()`` runs once in a task and returns a function from a list of texts
     (UTF-8 bytes, null as empty) to a list of Arrow arrays or sequences, in
-    the order of ``schema`` (DDL of the new columns). Rows stay where they are: no shuffle.
+    the order of ``schema`` (DDL of the new columns). ``also`` names a column whose values the
+    function gets as a second list. Rows stay where they are: no shuffle.
     """
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,9 +87,9 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in blocks(batches, n):
-            made = f(b.column(n).to_pylist())
+            made = f(b.column(n).to_pylist(), *([b.column(n + 1).to_pylist()] if also else []))
             kept = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
             cols = [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays(kept + cols, schema=arrow)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], text_bytes(F.col(f"`{text}`")).alias("_text")).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{c}`") for c in keep], text_bytes(F.col(f"`{text}`")).alias("_text"), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)

@@ -6,12 +6,14 @@ from kinmap.llm.decontaminate import OP3_SQL, op3_decontaminate
 from kinmap.llm.media import op8_media
 from kinmap.llm.quality import op5_quality
 from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
+from kinmap.llm.segmentation import op7_segmentation
 from kinmap.llm.simhash import op1_simhash
 from kinmap.llm.token_counts import op10_token_counts
 from kinmap.llm.token_files import op2_token_files
 from kinmap.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op7_segmentation": op7_segmentation,
     "op6_toxicity": op6_toxicity,
     "op5_quality": op5_quality,
     "op1_simhash": op1_simhash,
