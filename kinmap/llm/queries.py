@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinmap.llm.decontaminate import OP3_SQL, op3_decontaminate
+from kinmap.llm.language_model import op4_lm_scoring
 from kinmap.llm.media import op8_media
 from kinmap.llm.quality import op5_quality
 from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
@@ -13,6 +14,7 @@ from kinmap.llm.token_files import op2_token_files
 from kinmap.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_segmentation": op7_segmentation,
     "op6_toxicity": op6_toxicity,
     "op5_quality": op5_quality,
