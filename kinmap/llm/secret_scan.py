@@ -115,16 +115,16 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE +
     return spark.read.parquet(ledger)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row's ``keep`` columns and its spans by these rules: sorted by start, then rule."""
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "spans") -> DataFrame:
+    """Every row's ``keep`` columns and, as ``out``, its spans by these rules: sorted by start, then rule."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     live = F.filter("spans", lambda s: F.array_contains(F.transform("rules", lambda r: F.split(r, "@")[0]), s["kind"]))
     current = ledger.withColumn("rules", F.filter("rules", lambda r: F.map_contains_key(order, r))).select("blob", live.alias("spans"))
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     one = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], F.element_at(kinds, s["kind"]).alias("rule_no"), s["kind"], s["end"]))
-    by_blob = current.groupBy("blob").agg(F.sort_array(one).alias("spans"))
+    by_blob = current.groupBy("blob").agg(F.sort_array(one).alias("_spans"))
     paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(F.col(f"`{text}`")).alias("_blob"))
-    return paths.join(by_blob, paths["_blob"] == by_blob["blob"], "left").select(*keep, "spans")
+    return paths.join(by_blob, paths["_blob"] == by_blob["blob"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_spans").alias(out))
 
 
 def joined(spans: Column) -> Column:

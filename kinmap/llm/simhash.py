@@ -1,5 +1,12 @@
 """SimHash near-duplicates: pigeonhole blocks, verified Hamming distances, components.
 
+``near_duplicates`` links 64-bit fingerprints of shingles by their exact distance.
+``drop_near_duplicates`` finds texts whose sets of five-word shingles have a Jaccard
+similarity of about 0.8 or more. 64 bits can't tell that: such pairs differ in some 10 of
+them. So it takes two fingerprints of 512 bits. One, of the distinct words, is cut into 21 blocks of 24 bits:
+pairs with up to 20 differing bits surely share a block, and pairs of similarity 0.8, which differ in some
+40, share one in about 95 of 100 cases. The other, of the distinct shingles, verifies by its Hamming distance.
+
 Two fingerprints that differ in at most ``distance`` bits agree on all but
 ``distance`` of ``distance + extra`` blocks. For each choice of ``extra`` blocks there is a
 table keyed by those blocks' bits; with 7 blocks, 35 tables of about 27 bits, so
@@ -16,6 +23,7 @@ a null doc_id never names a group that has another id; an empty table gives an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinmap.llm.common import materialize, per_text, table
@@ -62,72 +71,82 @@ def block_masks(distance: int, extra: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def linked(prints: np.ndarray, distance: int) -> np.ndarray:
-    """For each fingerprint the smallest that it reaches, all within ``prints`` (uint64)."""
-    root = prints.copy()
-    left = np.arange(len(prints))
+def linked(nodes: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
+    """For each node the smallest that it reaches over links of ``distance`` at most, all within the given ones.
+
+    prints: one row of 64-bit words for each node."""
+    root = nodes.copy()
+    left = np.arange(len(nodes))
     while len(left):
         group, frontier, left = [left[:1]], left[:1], left[1:]
         while len(frontier) and len(left):
             reached = np.zeros(len(left), bool)
             for at in range(0, len(frontier), 64):
                 open_ = np.flatnonzero(~reached)
-                near = np.bitwise_count(prints[frontier[at : at + 64], None] ^ prints[left[open_]][None, :]) <= distance
-                reached[open_[near.any(axis=0)]] = True
+                bits = np.bitwise_count(prints[frontier[at : at + 64], None, :] ^ prints[left[open_]][None, :, :])
+                reached[open_[(bits.sum(axis=2, dtype=np.int32) <= distance).any(axis=0)]] = True
             frontier, left = left[reached], left[~reached]
             group.append(frontier)
         group = np.concatenate(group)
-        root[group] = prints[group].min()
+        root[group] = nodes[group].min()
     return root
 
 
-def links(prints: DataFrame, distance: int = 4, extra: int = 3, cell: int = 4096) -> DataFrame:
-    """Distinct fingerprints (column fp) -> (a, b): links that connect all fingerprints within ``distance``."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(distance, extra))])
-    from pyspark.sql import Window as W
+def cells(keyed: DataFrame, cell: int) -> DataFrame:
+    """(node, k) rows -> (k, i, j, node): buckets of two nodes and more; each pair of a large bucket's chunks is a cell."""
+    shared = keyed.withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1")
+    cut = shared.withColumn("chunks", F.ceil(F.col("n") / F.lit(cell)).cast("int"))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node", "k"), F.col("chunks")).cast("int"))
+    every = cut.select("k", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "own")
+    return every.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+
 
-    shared = prints.select("fp", F.explode(keys).alias("k")).withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(cell)).cast("int")
-    own = F.pmod(F.xxhash64("fp", "k"), F.col("chunks"))
-    cells = shared.withColumn("chunks", chunks).withColumn("own", own.cast("int"))
-    cells = cells.select("k", "fp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "own")
-    cells = cells.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+def search(found: DataFrame, distance: int, words: int) -> DataFrame:
+    """(k, i, j, node, print: binary of 64-bit words) -> (a, b): links within each cell."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
-        kind = np.dtype([("k", "i8"), ("i", "i4"), ("j", "i4"), ("fp", "u8")])
+        kind = np.dtype([("k", "i8"), ("i", "i4"), ("j", "i4"), ("node", "i8"), ("print", "u8", (words,))])
 
         def one(x: np.ndarray) -> pa.RecordBatch:
-            """x: whole groups."""
+            """x: whole cells."""
             cut = np.flatnonzero((x["k"][1:] != x["k"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(x)]])
             size = ends - starts
             two = starts[size == 2]
-            near = two[np.bitwise_count(x["fp"][two] ^ x["fp"][two + 1]) <= distance]
-            a, b = [x["fp"][near]], [x["fp"][near + 1]]
+            near = two[np.bitwise_count(x["print"][two] ^ x["print"][two + 1]).sum(axis=1, dtype=np.int32) <= distance]
+            a, b = [x["node"][near]], [x["node"][near + 1]]
             for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                f = x["fp"][s:e]
-                r = linked(f, distance)
-                a.append(f[f != r])
-                b.append(r[f != r])
-            return pa.record_batch([pa.array(np.concatenate(v).view("i8")) for v in (a, b)], ["a", "b"])
+                nodes = x["node"][s:e]
+                r = linked(nodes, x["print"][s:e], distance)
+                a.append(nodes[nodes != r])
+                b.append(r[nodes != r])
+            return pa.record_batch([pa.array(np.concatenate(v)) for v in (a, b)], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.empty(batch.num_rows, kind)
-            for c, name in enumerate(("k", "i", "j")):
+            for c, name in enumerate(("k", "i", "j", "node")):
                 x[name] = batch.column(c).to_numpy()
-            x["fp"] = batch.column(3).to_numpy().view("u8")
+            x["print"] = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").reshape(-1, words)
             x = x if rest is None else np.concatenate([rest, x])
-            last = x[["k", "i", "j"]]
-            split = len(x) - int(np.argmax(last[::-1] != last[-1])) if len(x) and (last != last[-1]).any() else 0
+            same = (x["k"] == x["k"][-1]) & (x["i"] == x["i"][-1]) & (x["j"] == x["j"][-1])
+            split = 0 if same.all() else len(x) - int(np.argmin(same[::-1]))
             rest = x[split:].copy()
             if split:
                 yield one(x[:split])
         if rest is not None and len(rest):
             yield one(rest)
 
-    found = cells.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(search, "a long, b long")
-    return found.distinct()
+    return found.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def links(prints: DataFrame, distance: int = 4, extra: int = 3, cell: int = 4096) -> DataFrame:
+    """Distinct fingerprints (column fp) -> (a, b): links that connect all fingerprints within ``distance``."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(distance, extra))])
+    found = cells(prints.select(F.col("fp").alias("node"), F.explode(keys).alias("k")), cell)
+    return search(found.withColumn("print", F.unhex(F.lpad(F.hex("node"), 16, "0"))), distance, 1)
 
 
 def groups(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint", distance: int = 4, extra: int = 3) -> DataFrame:
@@ -146,17 +165,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, doc_id
     return prints.join(found, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (ties: smallest hash of the text), all columns kept."""
-    marked = materialize(fingerprints(docs, docs.columns, shingle, text, out="_fingerprint"))
-    found = groups(marked, doc_id, "_fingerprint", distance)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    joined = marked.join(found.withColumnRenamed("component_id", "_component").withColumnRenamed("fp", "_fp"), F.col("_fingerprint") == F.col("_fp"))
-    # groups are told apart by their root's name; groups without any doc_id by their fingerprint
-    group = [F.col("_component"), F.when(F.col("_component").isNull(), F.col("_fingerprint"))]
-    order = F.struct(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`")))
-    best = joined.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min_by(row, order).alias("_row"))
-    return best.select("_row.*")
+TABLES, KEY_BITS, WORDS = 21, 24, 8
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """512 bits, each set if it is set in over half of the hashes, which are 64-bit seeds of 512 bits each."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        z = hashes[at : at + (1 << 13), None] + STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.unpackbits(z.view("u1"), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+STEPS = np.arange(1, WORDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def wide_fingerprints(text: bytes, shingle: int) -> tuple[int, bytes, bytes]:
+    """The text's node (a hash of its words), the fingerprint of its words and that of its shingles."""
+    words = text.lower().split()
+    line = b" ".join(words)
+    node = int.from_bytes(xxhash.xxh3_64_digest(line), "big", signed=True)
+    if not words:
+        return node, b"\0" * 64, b"\0" * 64
+    digest = xxhash.xxh64_digest
+    own = np.frombuffer(b"".join(map(digest, set(words))), ">u8").astype(np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(words))
+    runs = b"".join([digest(line[s:e]) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
+    return node, majority(own), majority(np.unique(np.frombuffer(runs, ">u8").astype(np.uint64)))
+
+
+def bits_at(similarity: float) -> int:
+    """Differing bits of 512 that two sets of this Jaccard similarity have on average, sizes being equal, and
+    one standard deviation more, so that most pairs of just this similarity are caught."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WORDS
+    return round(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", cell: int = 4096) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id (ties: the first row), all columns kept.
+
+    Texts of equal words are one node before blocks are made. Rows are numbered when they are
+    written with their fingerprints; the numbers of the rows that stay are found without the texts, which cross
+    the network once, for the final semi-join.
+    """
+    make = lambda: lambda texts: list(zip(*[wide_fingerprints(t, shingle) for t in texts], strict=True)) if texts else [[], [], []]
+    marked = materialize(per_text(docs.withColumn("_row", F.monotonically_increasing_id()), [*docs.columns, "_row"], "_node long, _words binary, _print binary", make, text))
+    nodes = marked.groupBy(F.col("_node").alias("node")).agg(F.min("_words").alias("words"), F.min("_print").alias("print"), F.min(F.col(f"`{doc_id}`")).alias("least"))
+    nodes = materialize(nodes)
+    size = KEY_BITS // 8
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("words", i * size + 1, size)) for i in range(TABLES)])
+    found = cells(nodes.select("node", F.explode(keys).alias("k")), cell)
+    roots = components(search(found.join(nodes.select("node", "print"), "node").select("k", "i", "j", "node", "print"), bits_at(similarity), WORDS))
+    rooted = nodes.select("node", "least").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("a"), F.col(f"`{doc_id}`").alias("b"), F.col("_row").alias("c"))
+    rows = marked.select("_node", "_row", order.alias("_order")).join(rooted.select(F.col("node").alias("_n"), "root"), F.col("_node") == F.col("_n"))
+    stay = rows.groupBy("root").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return marked.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
