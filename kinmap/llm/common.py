@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +70,35 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
             yield batch.slice(start)
 
 
+#: Texts in one Arrow batch between the JVM and Python, which hold a batch in memory twice.
+BATCH_ROWS = 1000
+
+_KEPT: dict = {}
+
+
+def remembered(key, build: Callable[[], object]) -> object:
+    """What ``build`` made last under this key in this Python worker, so that later tasks find memos filled.
+    One thing at a time: another key frees it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Return free memory to the system: workers live on after a task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold this session's Arrow batches to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Callable[..., list]], text: str = "text", also: str | None = None) -> DataFrame:
     """Columns computed from each whole text, beside the ``keep`` columns.
 
@@ -79,17 +110,23 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
     import pyspark.sql.types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     new = T._parse_datatype_string(schema)
     out = T.StructType([df.schema[c] for c in keep] + list(new.fields))
     arrow = to_arrow_schema(out, prefers_large_types=False)
-    n = len(keep)
+    n, kept = len(keep), text in keep
+    at = keep.index(text) if kept else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in blocks(batches, n):
-            made = f(b.column(n).to_pylist(), *([b.column(n + 1).to_pylist()] if also else []))
-            kept = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
-            cols = [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
-            yield pa.RecordBatch.from_arrays(kept + cols, schema=arrow)
-
-    return df.select(*[F.col(f"`{c}`") for c in keep], text_bytes(F.col(f"`{text}`")).alias("_text"), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)
+        for b in blocks(batches, at):
+            texts = [x or b"" for x in b.column(at).to_pylist()]
+            made = f(texts, *([b.column(b.num_columns - 1).to_pylist()] if also else []))
+            cols = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
+            cols += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        give_back()
+
+    body = F.col(f"`{text}`").cast("binary")  # goes over once, also where it is kept
+    columns = [body.alias(text) if c == text else F.col(f"`{c}`") for c in keep]
+    return df.select(*columns, *([] if kept else [body.alias("_text")]), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import blocks, per_text, table
+from kinmap.llm.common import blocks, give_back, per_text, table
 
 #: Rate of stored texts, in samples a second.
 RATE = 8000
@@ -274,6 +274,7 @@ def inspect(media: DataFrame, keep: list[str], content: str = "media", declared:
             rows = [one(d, s) for d, s in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
             made = [pa.array([r[i] for r in rows], arrow.field(n + i).type) for i in range(len(new.fields))]
             yield pa.RecordBatch.from_arrays([b.column(i).cast(arrow.field(i).type) for i in range(n)] + made, schema=arrow)
+        give_back()
 
     return media.select(*[F.col(f"`{c}`") for c in keep], F.col(content).alias("_content"), F.col(declared).alias("_declared")).mapInArrow(run, out)
 

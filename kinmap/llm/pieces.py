@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from kinmap.llm.common import remembered
+
 #: White space or controls that the libraries' ``\s`` and Python's may treat differently.
 ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
 PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -112,12 +114,6 @@ class Ids(Memo):
         return np.array(encoding.ids, self.kind).tobytes()
 
 
-_MADE: dict = {}
-
-
 def cached(kind: type[Memo], path: str, *args) -> Memo:
-    """One memo for each Python worker: tasks that reuse the worker find it filled."""
-    key = (kind.__name__, path, *args)
-    if key not in _MADE:
-        _MADE[key] = kind(path, *args)
-    return _MADE[key]
+    """One memo for each Python worker."""
+    return remembered((kind.__name__, path, *args), lambda: kind(path, *args))

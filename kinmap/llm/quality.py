@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fold, per_text, table
+from kinmap.llm.common import fold, per_text, remembered, table
 from kinmap.llm.labelled import sample
 
 SIZES = (2, 3)
@@ -136,9 +136,6 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-_SCORERS: dict = {}
-
-
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """``keep`` columns and the probability of label 1. The model is 256 KB, whatever the corpus."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -146,10 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], tex
     key = uuid.uuid4().hex
 
     def make():
-        if key not in _SCORERS:  # one for each Python worker: later tasks find its memo filled
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(*shared.value)
-        scorer = _SCORERS[key]
+        scorer = remembered(key, lambda: Scorer(*shared.value))
         return lambda texts: [[scorer.score(t) for t in texts]]
 
     return per_text(docs, keep, f"`{out}` double", make, text)

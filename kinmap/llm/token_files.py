@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import blocks, shared_dir, table, text_bytes
+from kinmap.llm.common import blocks, give_back, shared_dir, small_batches, table, text_bytes
 from kinmap.llm.pieces import Ids, cached
 
 MAGIC = b"KMIDS1"
@@ -77,7 +77,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
         foot += known.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + known.is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes()
         foot += np.array([len(n), total], "<i8").tobytes() + bytes([width]) + MAGIC
         yield pa.record_batch([pa.array([foot], pa.binary())], ["row"])
+        give_back()
 
+    small_batches(spark)
     tie = F.xxhash64("_text")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_bytes(F.col(f"`{text}`")).alias("_text"))
     rows = rows.repartitionByRange("_id", tie).sortWithinPartitions("_id", tie)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fold, per_text, table
+from kinmap.llm.common import fold, per_text, remembered, table
 from kinmap.llm.decontaminate import words_of
 from kinmap.llm.labelled import sample
 
@@ -240,18 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
     return model
 
 
-_SCORERS: dict = {}
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """``keep`` columns and the probability of label 1. The model is about 2 MB, whatever the corpus."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = remembered(key, lambda: Scorer(shared.value))
         return lambda texts: [[scorer.score(t) for t in texts]]
 
     return per_text(docs, keep, f"`{out}` double", make, text)
