@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import blocks, fold, materialize, table, text_bytes
+from kinmap.llm.common import blocks, fold, give_back, materialize, small_batches, table, text_bytes
 
 EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 #: No word is empty, so the empty word's hash marks the end of a text.
@@ -114,7 +114,9 @@ def requests(rows: DataFrame, order: int, shard_bits: int) -> DataFrame:
                 train.append(bool(learn))
         if parts:
             yield finished(bucket, parts, train)
+        give_back()
 
+    small_batches(rows.sparkSession)
     pairs = [x for n in range(1, order + 1) for x in (f"keys{n}", f"counts{n}")]
     names = ["shard", "bucket", *pairs]
     return rows.mapInArrow(count, "shard int, bucket long, " + ", ".join(f"{p} binary" for p in pairs))
@@ -148,7 +150,7 @@ def answers(asked: DataFrame, order: int) -> DataFrame:
 class Automaton:
     """The part of the automaton that one bucket of texts can reach."""
 
-    def __init__(self, totals: list[np.ndarray], n: int, v: int, texts: int, strength: float):
+    def __init__(self, totals: list[np.ndarray], n: int, v: int, texts: int, strength: tuple[float, ...]):
         self.totals, self.n, self.v, self.texts, self.strength = totals, n, v, texts, strength
 
     def read(self, places: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,13 +166,16 @@ class Automaton:
             history = np.concatenate([[0], before[:-1]])
             history[first] = self.texts  # a text's first state is START alone
             arc = self.totals[n][places[n]]
-            p = (arc + self.strength * p) / (history + self.strength)
+            k = self.strength[n - 1]
+            p = (arc + k * p) / (history + k)
         return seen, np.log10(root), np.log10(p)
 
 
-def score(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text", order: int = 2, strength: float = 200.0, bucket_bits: int = 12) -> DataFrame:
-    """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the rows of ``learn``."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text", strength: tuple[float, ...] = (400.0, 10.0), bucket_bits: int = 12) -> DataFrame:
+    """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the rows of ``learn``.
+
+    ``strength``: K of the histories of one word, of two, ...; their number gives the order."""
+    spark, order = docs.sparkSession, len(strength) + 1
     cols = {f"_k{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
     bucket = F.shiftright(F.monotonically_increasing_id(), bucket_bits)
     rows = docs.select(*[c.alias(k) for k, c in cols.items()], F.coalesce(learn, F.lit(False)).alias("_train"), text_bytes(F.col(f"`{text}`")).alias("_text"), bucket.alias("_bucket"))
