@@ -50,10 +50,14 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(eps)) * F.greatest(norm(b), F.lit(eps)))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda's argument, where a plain expression would be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column, eps: float = 1e-5) -> Column:
     """x / (|x| + eps)."""
-    n = norm(a) + F.lit(eps)
-    return F.transform(a, lambda x: x / n)
+    return let(a, lambda v: let(norm(v) + F.lit(eps), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -120,9 +124,7 @@ def squared_translate(e1: Column, r: Column, e2: Column) -> Column:
 
 def edge_translate(e1: Column, r: Column, e2: Column, context: Column, p: int = 2) -> Column:
     """The relation, less its part along the unit vector of ``context``, through tanh; then the distance |e1 + psi - e2|."""
-    h = unit(context, 1e-12)
-    along = dot(r, h)
-    psi = F.zip_with(r, h, lambda x, y: F.tanh(x - along * y))
+    psi = let(unit(context, 1e-12), lambda h: let(dot(r, h), lambda along: F.zip_with(r, h, lambda x, y: F.tanh(x - along * y))))
     return -translate(e1, psi, e2, p)
 
 
@@ -144,13 +146,11 @@ def multi_view(e1: Column, r: Column, e2: Column) -> Column:
 
 
 def hyperplane_translate(e1: Column, r: Column, e2: Column, normal: Column, p: int = 2) -> Column:
-    w = unit(normal, 1e-12)
 
-    def flat(e: Column) -> Column:
-        along = dot(e, w)
-        return F.zip_with(e, w, lambda x, y: x - along * y)
+    def flat(e: Column, w: Column) -> Column:
+        return let(dot(e, w), lambda along: F.zip_with(e, w, lambda x, y: x - along * y))
 
-    return translate(flat(e1), r, flat(e2), p)
+    return let(unit(normal, 1e-12), lambda w: translate(flat(e1, w), r, flat(e2, w), p))
 
 
 def projected_translate(e1: Column, r: Column, e2: Column, matrix: Column, p: int = 2) -> Column:

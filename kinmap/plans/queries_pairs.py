@@ -1,2 +1,216 @@
+"""Matching and evaluation: queries and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinmap.operators import evaluate, match, sparse
+from kinmap.operators.knn import csls, top_k
+from kinmap.plans.fixture import rounded, similarity, sql, vectors
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return put
+
+
+RANKED = ", rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM sim)"
+#: No gold links are in the vectors: a source's gold target is the next odd id, where it exists.
+GOLD = ", gold AS (SELECT src, trg FROM (SELECT va.id AS src, va.id + 1 AS trg FROM va) JOIN vb ON vb.id = trg)"
+
+
+def gold(spark, d):
+    a = vectors(spark, d, 0).select(F.col("id").alias("src"), (F.col("id") + 1).alias("trg"))
+    return a.join(vectors(spark, d, 1).select(F.col("id").alias("trg")), "trg", "left_semi").select("src", "trg")
+
+
+@query(sql(RANKED + " SELECT src, trg, round(score, 6) AS score FROM rk WHERE n = 1 AND m = 1", "sim"))
+def mutual_best(spark, d):
+    return rounded(match.mutual_best(similarity(spark, d)))
+
+
+@query(sql(RANKED + """, s AS (SELECT src, max(score) FILTER (WHERE n = 1) - max(score) FILTER (WHERE n = 2) AS gap FROM rk GROUP BY src), t AS (SELECT trg, max(score) FILTER (WHERE m = 1) - max(score) FILTER (WHERE m = 2) AS gap FROM rk GROUP BY trg)
+SELECT rk.src, rk.trg, round(score, 6) AS score FROM rk JOIN s ON s.src = rk.src JOIN t ON t.trg = rk.trg WHERE n = 1 AND m = 1 AND s.gap >= 0.02 AND t.gap >= 0.02""", "sim"))
+def margin_filter(spark, d):
+    return rounded(match.mutual_with_margin(similarity(spark, d), 0.02))
+
+
+_OTHER = ", two AS (SELECT va.id AS src, vb.id AS trg, list_cosine_similarity(va.vec, vb.vec) AS score FROM va, vb WHERE (va.id + vb.id) % 3 = 0), f AS (SELECT src, trg, sum(score) AS score FROM (SELECT src, trg, score FROM sim UNION ALL SELECT src, trg, 0.05 * score FROM two) GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM f)"
+
+
+def _second(spark, d):
+    from kinmap.functions.vectors import cosine
+    from kinmap.operators.knn import all_pairs
+
+    return all_pairs(vectors(spark, d, 0), vectors(spark, d, 1), cosine(F.col("a"), F.col("b"))).filter("(src + trg) % 3 = 0")
+
+
+@query(sql(_OTHER + " SELECT src, trg FROM fr WHERE n = 1 AND m = 1", "sim"))
+def pseudo_links(spark, d):
+    return match.pseudo_links([similarity(spark, d), _second(spark, d)], [1.0, 0.05])
+
+
+_OLD = "(SELECT va.id AS src, va.id + 3 AS trg FROM va WHERE va.id % 20 = 0)"
+
+
+@query(sql(RANKED + f", old AS {_OLD} SELECT src, trg FROM old UNION ALL SELECT src, trg FROM rk WHERE n = 1 AND m = 1 AND src NOT IN (SELECT src FROM old) AND trg NOT IN (SELECT trg FROM old)", "sim"))
+def append_pairs(spark, d):
+    old = vectors(spark, d, 0).filter("id % 20 = 0").select(F.col("id").alias("src"), (F.col("id") + 3).alias("trg"))
+    return match.appended(old, match.mutual_best(similarity(spark, d)))
+
+
+@query(sql("SELECT src, trg, round(score, 6) AS score FROM sim WHERE score > -0.5", "sim"))
+def threshold_pairs(spark, d):
+    return rounded(match.above(similarity(spark, d), -0.5))
+
+
+@query(sql(RANKED + " SELECT src, trg, round(score, 6) AS score FROM rk WHERE n <= 5 AND score > -0.5", "sim"))
+def threshold_knn_pairs(spark, d):
+    return rounded(match.potential(similarity(spark, d), -0.5, 5))
+
+
+@query(sql(RANKED + ", b AS (SELECT src, trg, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS k FROM rk WHERE n <= 10 AND m <= 10 AND score > -0.8) SELECT src, trg, round(score, 6) AS score FROM b WHERE k = 1", "sim"))
+def greedy_pairs(spark, d):
+    return rounded(match.paired_greedily(similarity(spark, d), -0.8, 10))
+
+
+@query(sql(", two AS (SELECT va.id AS src, vb.id AS trg, list_cosine_similarity(va.vec, vb.vec) AS score FROM va, vb WHERE (va.id + vb.id) % 3 = 0), p AS (SELECT src, trg FROM sim WHERE score > -0.9) SELECT p.src, p.trg FROM p JOIN two USING (src, trg) JOIN sim USING (src, trg) WHERE two.score <= sim.score + 0.8", "sim"))
+def still_close_pairs(spark, d):
+    sim = similarity(spark, d)
+    return match.still_close(match.above(sim, -0.9).select("src", "trg"), _second(spark, d), sparse.apply(sim, lambda x: x + 0.8))
+
+
+@query(sql(RANKED + """, lab AS (SELECT va.id AS src, va.id + 1 AS trg FROM va WHERE va.id % 3 = 0), new AS (SELECT src, trg FROM rk WHERE n = 1),
+j AS (SELECT coalesce(lab.src, new.src) AS src, lab.trg AS old, new.trg AS new FROM lab FULL JOIN new ON lab.src = new.src),
+sc AS (SELECT j.*, coalesce(a.score, 0) AS so, coalesce(b.score, 0) AS sn FROM j LEFT JOIN sim a ON a.src = j.src AND a.trg = j.old LEFT JOIN sim b ON b.src = j.src AND b.trg = j.new),
+c AS (SELECT src, CASE WHEN old IS NULL OR (new IS NOT NULL AND sn >= so) THEN new ELSE old END AS trg, CASE WHEN old IS NULL OR (new IS NOT NULL AND sn >= so) THEN sn ELSE so END AS s FROM sc)
+SELECT src, trg FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY s DESC, src) AS k FROM c) WHERE k = 1""", "sim"))
+def label_editing(spark, d):
+    sim = similarity(spark, d)
+    labelled = vectors(spark, d, 0).filter("id % 3 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("trg"))
+    return match.relabelled(labelled, sparse.argmax(sim).select("src", "trg"), sim)
+
+
+@query()
+def one_to_one_matching(spark, d):
+    return rounded(match.matching(similarity(spark, d), -2.0, 20))
+
+
+@query()
+def bootstrap_step(spark, d):
+    sim = similarity(spark, d)
+    labelled = vectors(spark, d, 0).filter("id % 5 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("trg"))
+    return match.bootstrapped(labelled, sim, -1.0, 10)
+
+
+_REST = sql("""
+, t AS (SELECT va.id AS src, va.id + 1 AS trg FROM va WHERE va.id % 10 = 0),
+c AS (SELECT va.id AS src, vb.id AS trg, list_cosine_similarity(va.vec, vb.vec) AS score FROM va, vb WHERE va.id NOT IN (SELECT src FROM t) AND vb.id NOT IN (SELECT trg FROM t)),
+k AS (SELECT src, trg, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM c) WHERE n <= 50),
+r AS (SELECT src, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM k) WHERE n <= 10 GROUP BY src),
+l AS (SELECT trg, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS n FROM k) WHERE n <= 10 GROUP BY trg),
+x AS (SELECT k.src, k.trg, 2 * score - r.m - l.m AS score FROM k JOIN r ON r.src = k.src JOIN l ON l.trg = k.trg),
+y AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM x)
+SELECT src, trg FROM t UNION ALL SELECT src, trg FROM y WHERE n = 1 AND m = 1""", "va", "vb")
+
+
+@query(_REST)
+def pseudo_labelling(spark, d):
+    train = vectors(spark, d, 0).filter("id % 10 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("trg"))
+    return match.more_pairs(vectors(spark, d, 0), vectors(spark, d, 1), train)
+
+
+@query(sql(RANKED + GOLD + " SELECT src, trg, n AS rank FROM rk JOIN gold USING (src, trg)", "sim"))
+def gold_ranks(spark, d):
+    return evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+
+
+@query(sql(RANKED + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 1 AS DOUBLE)), 6) AS hits_1, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10, round(avg(CAST(n <= 50 AS DOUBLE)), 6) AS hits_50, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+def hits_mrr(spark, d):
+    ranks = evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+    return rounded(evaluate.hits(ranks, (1, 10, 50)).crossJoin(evaluate.reciprocal(ranks)), "hits_1", "hits_10", "hits_50", "mrr")
+
+
+@query(sql(RANKED + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10 FROM rk JOIN gold USING (src, trg) WHERE src % 8 <> 0", "sim"))
+def hits_ignoring(spark, d):
+    ranks = evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+    return rounded(evaluate.hits(ranks, (10,), F.col("src") % 8 == 0), "hits_10")
+
+
+@query(sql(RANKED + GOLD + " SELECT round(avg(CASE WHEN n <= 10 THEN 1.0 / n ELSE 1.0 / ((SELECT count(*) FROM va) // 2 + 1) END), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+def truncated_mrr(spark, d):
+    return rounded(evaluate.truncated(similarity(spark, d), gold(spark, d), 10, vectors(spark, d, 0).count()), "mrr")
+
+
+_SPARSE = ", sp AS (SELECT * FROM sim WHERE (src * 7 + trg) % 3 <> 0)"
+
+
+def _sparse(spark, d):
+    return similarity(spark, d).filter("(src * 7 + trg) % 3 <> 0")
+
+
+@query(sql(_SPARSE + GOLD + ", dense AS (SELECT va.id AS src, vb.id AS trg, coalesce(sp.score, 0) AS score FROM va CROSS JOIN vb LEFT JOIN sp ON sp.src = va.id AND sp.trg = vb.id), g AS (SELECT d.src, d.trg, d.score FROM dense d JOIN gold USING (src, trg)) SELECT g.src, g.trg, count(*) FILTER (WHERE dense.score > g.score) AS above FROM g JOIN dense ON dense.src = g.src GROUP BY 1, 2", "sim"))
+def implicit_zero_ranks(spark, d):
+    """How many cells of the dense row are above the gold cell; ties aside, the rank less one."""
+    sim = _sparse(spark, d)
+    ranks = evaluate.gold_ranks(sim, gold(spark, d), implicit_zero=True)
+    zeros = sim.groupBy("src").agg(F.count("*").alias("n"))
+    stored = gold(spark, d).join(sim, ["src", "trg"], "left").select("src", "trg", F.coalesce("score", F.lit(0.0)).alias("g"))
+    return ranks.join(stored, ["src", "trg"]).join(zeros, "src", "left").select("src", "trg", (F.col("rank") - 1).alias("above"))
+
+
+@query(sql(_SPARSE + GOLD + ", b AS (SELECT src, trg FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM sp) WHERE n = 1) SELECT round(avg(CAST(b.trg IS NOT NULL AND b.trg = gold.trg AS DOUBLE)), 6) AS accuracy FROM gold LEFT JOIN b ON b.src = gold.src", "sim"))
+def sparse_accuracy(spark, d):
+    return rounded(evaluate.accuracy(_sparse(spark, d), gold(spark, d)), "accuracy")
+
+
+@query(sql(RANKED + GOLD + " SELECT round(avg(CAST(n = 1 AS DOUBLE)), 6) AS hits_1, round(avg(n), 6) AS mean_rank, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+def mean_rank(spark, d):
+    return rounded(evaluate.mean_rank(evaluate.gold_ranks(similarity(spark, d), gold(spark, d))), "hits_1", "mean_rank", "mrr")
+
+
+@query(sql(RANKED + GOLD + ", j AS (SELECT * FROM rk JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 6) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 6) FROM j", "sim"))
+def two_way_evaluation(spark, d):
+    return rounded(evaluate.both_ways(similarity(spark, d), gold(spark, d), (5,)), "hits_5", "mrr")
+
+
+_CSLS_RANKS = """, r AS (SELECT src, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM sim) WHERE n <= 10 GROUP BY src),
+c AS (SELECT trg, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS n FROM sim) WHERE n <= 10 GROUP BY trg),
+x AS (SELECT sim.src, sim.trg, 2 * score - r.m - c.m AS score FROM sim JOIN r ON r.src = sim.src JOIN c ON c.trg = sim.trg),
+xr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM x)"""
+
+
+@query(sql(_CSLS_RANKS + GOLD + ", j AS (SELECT * FROM xr JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 5) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 5) FROM j", "sim"))
+def two_way_hub_corrected(spark, d):
+    out = rounded(evaluate.both_ways(similarity(spark, d), gold(spark, d), (5,), hub=10), "hits_5")
+    return out.withColumn("mrr", F.round("mrr", 5))
+
+
+@query(sql(RANKED + GOLD + ", f AS (SELECT src, trg FROM rk WHERE n <= 2) SELECT count(*) FILTER (WHERE gold.src IS NOT NULL) AS hit, count(*) AS found, (SELECT count(*) FROM gold) AS gold, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / count(*), 6) AS precision, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / (SELECT count(*) FROM gold), 6) AS recall FROM f LEFT JOIN gold USING (src, trg)", "sim"))
+def pair_precision_recall(spark, d):
+    return rounded(evaluate.pair_scores(top_k(similarity(spark, d), 2), gold(spark, d)).drop("f1"), "precision", "recall")
+
+
+@query(sql(RANKED + ", a AS (SELECT src, trg FROM rk WHERE n <= 3), b AS (SELECT src, trg FROM rk WHERE m <= 3) SELECT 'minus' AS op, src, trg FROM a WHERE (src, trg) NOT IN (SELECT (src, trg) FROM b) UNION ALL SELECT 'cross', src, trg FROM a WHERE (src, trg) IN (SELECT (src, trg) FROM b)", "sim"))
+def set_operations(spark, d):
+    sim = similarity(spark, d)
+    a, b = top_k(sim, 3).select("src", "trg"), top_k(sim, 3, "trg").select("src", "trg")
+    return sparse.minus(a, b, ["src", "trg"]).select(F.lit("minus").alias("op"), "src", "trg").union(sparse.cross(a, b, ["src", "trg"]).select(F.lit("cross"), "src", "trg"))
+
+
+@query()
+def sinkhorn(spark, d):
+    return rounded(sparse.sinkhorn(similarity(spark, d).filter("src < 100 and trg < 100"), reg=0.05, rounds=50))
+
+
+@query()
+def hub_corrected_matching(spark, d):
+    return rounded(match.greedy_matching(top_k(csls(similarity(spark, d)), 10)))

@@ -1,2 +1,174 @@
+"""Names and tokens: queries and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinmap.functions import text as T
+from kinmap.functions import vectors as V
+from kinmap.operators import lsh, tokens
+from kinmap.operators.knn import nearest
+from kinmap.plans.fixture import rounded, sql, table, vectors
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return put
+
+
+_STRIP = r"regexp_replace(url, '(?s)^.*?http(s)?://[a-z\.]+/[^/]+/', '')"
+_PUNCT = "regexp_replace({}, '[!-/:-@\\[-^`{{-~]', ' ', 'g')"
+
+
+@query(f"SELECT page_id, {_STRIP} AS name FROM pages")
+def uri_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", T.strip_prefix(F.col("url")).alias("name"))
+
+
+@query(f"SELECT page_id, {_PUNCT.format(_STRIP)} AS name FROM pages")
+def punct_clean(spark, d):
+    return table(spark, d, "pages").select("page_id", T.clean_name(F.col("url")).alias("name"))
+
+
+@query(r"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w[1] AS first, w[len(w)] AS last FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents)")
+def tokenize(spark, d):
+    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return t.select("doc_id", F.size("w").cast("long").alias("n"), F.try_element_at("w", F.lit(1)).alias("first"), F.try_element_at("w", F.lit(-1)).alias("last"))
+
+
+@query("SELECT p_partkey, CAST(len(list_distinct(string_split(replace(p_name, ' ', '_'), '_'))) AS BIGINT) AS n FROM part")
+def underscore_parts(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.size(T.parts(F.translate("p_name", " ", "_"))).cast("long").alias("n"))
+
+
+_TOKENS = r"t AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS token FROM documents), c AS (SELECT id, token, count(*) AS n FROM t GROUP BY 1, 2)"
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {_TOKENS} SELECT id, token, n FROM c")
+def term_counts(spark, d):
+    return tokens.term_counts(_docs(spark, d))
+
+
+@query(f"WITH {_TOKENS}, f AS (SELECT token, count(*) AS df FROM c GROUP BY 1), w AS (SELECT id, token, n * (ln((1.0 + (SELECT count(*) FROM documents)) / (df + 1.0)) + 1) AS w FROM c JOIN f USING (token)) SELECT id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w")
+def tfidf(spark, d):
+    return rounded(tokens.tf_idf(_docs(spark, d)), "weight")
+
+
+@query(f"WITH {_TOKENS} SELECT token, count(*) AS df FROM c GROUP BY 1 ORDER BY df DESC, token LIMIT 50")
+def high_freq_tokens(spark, d):
+    return tokens.frequent_tokens(_docs(spark, d), 50)
+
+
+@query(f"WITH {_TOKENS}, k AS (SELECT token FROM c GROUP BY 1 ORDER BY count(*) DESC, token LIMIT 20), p AS (SELECT DISTINCT token FROM t WHERE regexp_full_match(token, '[!-/:-@\\[-^`{{-~]+')) SELECT token FROM k UNION SELECT token FROM p")
+def stop_tokens(spark, d):
+    return tokens.stop_tokens(_docs(spark, d), 20)
+
+
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), p AS (SELECT a.x AS a, b.x AS b FROM n a, n b),
+s AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0) AS prev FROM p
+UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CAST(CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN prev[j] + 1 ELSE greatest(prev[j + 1], acc[-1]) END AS INTEGER)), [0]) FROM s WHERE i < length(a))
+SELECT a, b, round(2.0 * prev[-1] / (length(a) + length(b)), 6) AS score FROM s WHERE i = length(a)""")
+def edit_ratio_join(spark, d):
+    n = table(spark, d, "part").select("p_name").distinct()
+    pairs = n.select(F.col("p_name").alias("a")).crossJoin(n.select(F.col("p_name").alias("b")))
+    return rounded(pairs.select("a", "b", T.edit_ratio(F.col("a"), F.col("b")).alias("score")))
+
+
+def _sets(spark, d):
+    t = _docs(spark, d).select("id", F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
+    return t.filter("id % 2 = 0"), t.filter("id % 2 = 1")
+
+
+@query()
+def minhash_join(spark, d):
+    a, b = _sets(spark, d)
+    return rounded(lsh.with_jaccard(lsh.candidates(a, b), a, b))
+
+
+@query()
+def string_similarity(spark, d):
+    p = table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.translate("p_name", " ", "_").alias("name"))
+    return rounded(lsh.string_similarity(p.filter("id % 2 = 0"), p.filter("id % 2 = 1")))
+
+
+_NAMES = "w AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS token FROM part)"
+
+
+def _name_tokens(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(F.split("p_name", " ")).alias("token"))
+
+
+@query(f"WITH {_NAMES}, h AS (SELECT token FROM w GROUP BY 1 ORDER BY count(DISTINCT id) DESC, token LIMIT 4) SELECT count(*) AS pairs, CAST(sum(src) AS BIGINT) AS s, CAST(sum(trg) AS BIGINT) AS t FROM (SELECT DISTINCT a.id AS src, b.id AS trg FROM w a JOIN w b USING (token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND token NOT IN (SELECT token FROM h))")
+def shared_postings(spark, d):
+    w = _name_tokens(spark, d)
+    hubs = w.groupBy("token").agg(F.count_distinct("id").alias("n")).orderBy(F.desc("n"), "token").limit(4)
+    return lsh.shared_postings(w.filter("id % 2 = 0"), w.filter("id % 2 = 1"), hubs).agg(F.count("*").alias("pairs"), F.sum("src").alias("s"), F.sum("trg").alias("t"))
+
+
+_POOL = "m AS (SELECT id, (id * 3 + k * 7) % 500 AS token FROM (SELECT id, unnest(range(0, 3)) AS k FROM emb WHERE id < 400)), x AS (SELECT m.id, i, vec[i] AS v FROM m JOIN (SELECT id AS token, vec, unnest(range(1, 65)) AS i FROM emb) e USING (token))"
+
+
+def _members(spark, d):
+    return vectors(spark, d).filter("id < 400").select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("id", ((F.col("id") * 3 + F.col("k") * 7) % 500).alias("token"))
+
+
+_P2 = "pow(avg(pow(v, 2)), 0.5)"
+
+
+@query(sql(f", {_POOL}, y AS (SELECT id, i, avg(v) AS me, max(v) AS ma, min(v) AS mi, sum(v) AS su, {_P2} AS p2 FROM x GROUP BY 1, 2) SELECT id, round(sum(me), 5) AS mean, round(sum(ma), 5) AS max, round(sum(mi), 5) AS min, round(sum(su), 5) AS sum, round(sum(p2), 5) AS p_mean_2 FROM y GROUP BY 1", "emb"))
+def pooled_vectors(spark, d):
+    m = _members(spark, d)
+    v = vectors(spark, d).select(F.col("id").alias("token"), "vec")
+    out = None
+    for how in ("mean", "max", "min", "sum", "p_mean_2"):
+        one = tokens.pooled(m, v, how).select("id", F.round(V.total(F.col("vec")), 5).alias(how))
+        out = one if out is None else out.join(one, "id")
+    return out
+
+
+_NEAR = "s AS (SELECT DISTINCT id, token FROM m WHERE id % 2 = 0), t AS (SELECT DISTINCT id, token FROM m WHERE id % 2 = 1), c AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.vec, b.vec) AS z FROM emb a, emb b WHERE a.id IN (SELECT token FROM s) AND b.id IN (SELECT token FROM t)), n AS (SELECT x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY z DESC, y) AS k FROM c) WHERE k = 1)"
+
+
+@query(sql(f", {_POOL}, {_NEAR} SELECT s.id AS src, t.id AS trg, round(sum(z), 6) AS score FROM s JOIN n ON n.x = s.token JOIN t ON t.token = n.y GROUP BY 1, 2", "emb"))
+def token_similarity(spark, d):
+    m = _members(spark, d)
+    return rounded(tokens.token_similarity(m.filter("id % 2 = 0"), m.filter("id % 2 = 1"), vectors(spark, d).select("id", "vec")))
+
+
+@query(sql(f", {_POOL}, {_NEAR} SELECT s.id AS src, t.id AS trg, round(sum(z * (s.id % 5 + 1) * (t.token % 3 + 1)), 5) AS score FROM s JOIN n ON n.x = s.token JOIN t ON t.token = n.y WHERE s.token % 10 <> 0 AND t.token % 10 <> 0 GROUP BY 1, 2", "emb"))
+def weighted_token_similarity(spark, d):
+    m = _members(spark, d).distinct()
+    s = m.filter("id % 2 = 0").withColumn("weight", (F.col("id") % 5 + 1).cast("double"))
+    t = m.filter("id % 2 = 1").withColumn("weight", (F.col("token") % 3 + 1).cast("double"))
+    v = vectors(spark, d).select("id", "vec")
+    own = lambda x: v.join(x.select(F.col("token").alias("id")).distinct(), "id", "left_semi")
+    near = nearest(own(s), own(t), 1, "cosine")
+    stop = v.filter("id % 10 = 0").select(F.col("id").alias("token"))
+    return tokens.weighted_token_similarity(s, t, near, stop).withColumn("score", F.round("score", 5))
+
+
+@query(sql(", c AS (SELECT a.id, a.vec AS v, b.vec AS w FROM emb a JOIN emb b ON b.id = a.id + 1) SELECT id, round(list_sum(v) + list_sum(w), 5) AS total, CAST(len(v) + len(w) AS INTEGER) AS size FROM c", "emb"))
+def concatenated_vectors(spark, d):
+    v = vectors(spark, d).select("id", "vec")
+    out = tokens.concatenated([v, v.withColumn("id", F.col("id") - 1)])
+    return out.select("id", F.round(V.total(F.col("vec")), 5).alias("total"), F.size("vec").alias("size"))
+
+
+@query()
+def name_vectors(spark, d):
+    p = table(spark, d, "part").select("p_name").distinct()
+    return p.select("p_name", F.round(V.norm(T.name_vector(F.col("p_name"))), 6).alias("length"))
