@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import resource
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -85,8 +86,12 @@ def remembered(key, build: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
-def give_back() -> None:
-    """Return free memory to the system: workers live on after a task, beside those of the next stage."""
+def give_back(most: int = 400 << 20) -> None:
+    """Return free memory to the system, and what is remembered too if the worker holds over ``most`` bytes:
+    workers live on after a task, beside those of the next stage."""
+    with contextlib.suppress(OSError, ValueError), open("/proc/self/statm") as f:
+        if int(f.read().split()[1]) * resource.getpagesize() > most:
+            _KEPT.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -49,7 +49,7 @@ def way(path: str) -> str:
 class Memo:
     """Remembers a value for each piece, in two generations of at most ``most`` entries each: bounded memory."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer, self.way = load(path), way(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict = {}
@@ -106,7 +106,7 @@ class Counts(Memo):
 class Ids(Memo):
     """Token ids as little-endian bytes of a fixed width."""
 
-    def __init__(self, path: str, width: int = 2, most: int = 400_000):
+    def __init__(self, path: str, width: int = 2, most: int = 250_000):
         super().__init__(path, most)
         self.kind = np.dtype(f"<u{width}")
 

@@ -101,7 +101,7 @@ def train(texts: list[bytes], labels: list[int], dim: int = 8, epochs: int = 12,
 class Scorer:
     """Scores texts with a folded model; remembers sums of words, at most about ``most``."""
 
-    def __init__(self, values: np.ndarray, bias: float, most: int = 400_000):
+    def __init__(self, values: np.ndarray, bias: float, most: int = 250_000):
         self.values, self.bias, self.most = values.astype(np.float64), bias, most
         self.clear()
 
