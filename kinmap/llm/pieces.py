@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -19,6 +20,8 @@ from kinmap.llm.common import remembered
 
 #: White space or controls that the libraries' ``\s`` and Python's may treat differently.
 ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
+#: ASCII punctuation, without the apostrophe, which may begin a pre-token of letters.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 
 
@@ -84,16 +87,52 @@ class Memo:
             if len(self.young) + len(missing) > self.most:
                 self.old, self.young = self.young, {}
                 missing = set(pieces)
-            young, old = self.young, self.old
-            new = []
-            for p in missing:
-                if p in old:
-                    young[p] = old[p]
+            self.learn(missing)
+        return list(map(self.young.__getitem__, pieces))
+
+    def learn(self, missing: set[bytes]) -> None:
+        """A piece that ends in ASCII punctuation after an ASCII letter is always cut there too: its two parts are looked up.
+        Pieces that are one word of ASCII letters go straight to the tokenizer's model, the others through all of it."""
+        young, old = self.young, self.old
+        new, whole = [], []
+        for p in missing:
+            if (v := old.get(p)) is not None:
+                young[p] = v
+            else:
+                core = p.rstrip(TAIL)
+                if len(core) < len(p) and core[-1:].isalpha():
+                    whole.append((p, core, p[len(core) :]))
                 else:
                     new.append(p)
-            if new:
-                young.update(zip(new, self.encode([p.decode() for p in new]), strict=True))
-        return list(map(self.young.__getitem__, pieces))
+        for _, core, tail in whole:
+            for p in (core, tail):
+                if p not in young:
+                    if (v := old.get(p)) is not None:
+                        young[p] = v
+                    else:
+                        new.append(p)
+        model, rest = self.tokenizer.model.tokenize, []
+        for p in new:
+            word = self.word(p)
+            if word is None:
+                rest.append(p)
+            else:
+                young[p] = self.of_tokens(model(word))
+        if rest:
+            young.update(zip(rest, self.encode([p.decode() for p in rest]), strict=True))
+        for p, core, tail in whole:
+            young[p] = young[core] + young[tail]
+
+    def word(self, p: bytes) -> str | None:
+        """What the model gets for a piece that is one pre-token of ASCII letters, or None."""
+        if self.way == "drop":  # lower-cased before
+            return p.decode() if p.isalpha() and p.islower() else None
+        if p.isalpha():
+            return p.decode()
+        return "\u0120" + p[1:].decode() if p[:1] == b" " and p[1:].isalpha() else None
+
+    def of_tokens(self, tokens):
+        raise NotImplementedError
 
 
 class Counts(Memo):
@@ -102,6 +141,9 @@ class Counts(Memo):
     def value(self, encoding) -> int:
         return len(encoding)
 
+    def of_tokens(self, tokens) -> int:
+        return len(tokens)
+
 
 class Ids(Memo):
     """Token ids as little-endian bytes of a fixed width."""
@@ -111,7 +153,13 @@ class Ids(Memo):
         self.kind = np.dtype(f"<u{width}")
 
     def value(self, encoding) -> bytes:
-        return np.array(encoding.ids, self.kind).tobytes()
+        return self.packed(encoding.ids)
+
+    def of_tokens(self, tokens) -> bytes:
+        return self.packed([t.id for t in tokens])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind.itemsize == 2 else 'I'}", *ids)
 
 
 def cached(kind: type[Memo], path: str, *args) -> Memo:
