@@ -15,7 +15,7 @@ the automaton that it can reach:
      them, sorted and cut by hash range, to shards;
   2. a shard adds up the counts and answers every bucket in the order in which it asked;
   3. buckets of texts meet their answers and are read.
-N-grams are 63-bit hashes; counts are exact but for collisions (about n^2 / 2^64 of n n-grams).
+Words are 63-bit hashes, longer n-grams 48-bit ones; counts are exact but for collisions (about n^2 / 2^64 pairs of n words).
 A bucket is known by partition and row number of the input, which must be the same in both
 reads; if it isn't, the sizes differ and the run fails. Read the input from files, or materialize it.
 
@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from kinmap.llm.common import blocks, fold, give_back, materialize, small_batches, table, text_bytes
 
 EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
+#: Longer n-grams keep 48 bits: less to send, and n distinct ones make a given one collide with probability n / 2^48.
+GRAM = np.uint64(0xFFFFFFFFFFFF0000)
 #: No word is empty, so the empty word's hash marks the end of a text.
 FINISH = np.frombuffer(xxhash.xxh64_digest(b""), ">u8").astype(np.uint64) & EVEN
 START = np.uint64(0x2545F4914F6CDD1C)
@@ -64,7 +66,7 @@ def grams(ids: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
         x ^= x >> np.uint64(31)
         history = x * M2 + np.uint64(n)
         y = (history ^ ids) * M1
-        out.append((y ^ (y >> np.uint64(29))) & EVEN)
+        out.append((y ^ (y >> np.uint64(29))) & GRAM)
     return out
 
 
@@ -76,44 +78,48 @@ def tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return clean[first], np.add.reduceat(both & np.uint64(1), first) if len(first) else np.zeros(0, np.uint64)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte: all first bytes, all second bytes, ... Sorted or small numbers compress well so."""
-    return x.view("u1").reshape(len(x), x.itemsize).T.tobytes()
+def planes(x: np.ndarray, drop: int = 0) -> bytes:
+    """Numbers byte by byte: all first bytes, all second bytes, ... Sorted or small numbers compress well so. The lowest ``drop`` bytes are 0 and left out."""
+    return x.view("u1").reshape(len(x), x.itemsize)[:, drop:].T.tobytes()
 
 
-def unplanes(data: bytes, kind: str) -> np.ndarray:
+def unplanes(data: bytes, kind: str, drop: int = 0) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(width, -1).T).view(kind).ravel()
+    rows = np.frombuffer(data, "u1").reshape(width - drop, -1)
+    out = np.zeros((rows.shape[1], width), "u1")
+    out[:, drop:] = rows.T
+    return out.view(kind).ravel()
 
 
 def requests(rows: DataFrame, order: int, shard_bits: int) -> DataFrame:
     """(bucket, train, text) -> for each bucket and shard the distinct n-grams and their training counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finished(bucket: int, parts: list[np.ndarray], train: list[bool]) -> pa.RecordBatch:
+        def finished(bucket: int, parts: list[np.ndarray], train: list[bool]) -> list[pa.RecordBatch]:
             sizes = np.array([len(p) for p in parts])
             learn = np.repeat(np.array(train), sizes)
             edges = np.arange((1 << shard_bits) + 1, dtype=np.uint64)[:-1] << np.uint64(64 - shard_bits)
             cols: list[list[bytes]] = []
-            for keys in grams(np.concatenate(parts), sizes, order):
+            for g, keys in enumerate(grams(np.concatenate(parts), sizes, order)):
                 own, n = tallied(keys, learn)
                 at = np.append(np.searchsorted(own, edges), len(own))
                 n = n.astype("<u4")
-                cols += [[planes(own[a:b]) for a, b in zip(at, at[1:], strict=False)], [planes(n[a:b]) for a, b in zip(at, at[1:], strict=False)]]
+                cols += [[planes(own[a:b], 2 * (g > 0)) for a, b in zip(at, at[1:], strict=False)], [planes(n[a:b]) for a, b in zip(at, at[1:], strict=False)]]
             k = 1 << shard_bits
-            return pa.record_batch([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, bucket)), *[pa.array(c, pa.binary()) for c in cols]], names)
+            made = pa.record_batch([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, bucket)), *[pa.array(c, pa.binary()) for c in cols]], names)
+            return [made.slice(i, 32) for i in range(0, k, 32)]
 
         bucket, parts, train = None, [], []
         for b in blocks(batches, 2):
             for own, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if own != bucket and parts:
-                    yield finished(bucket, parts, train)
+                    yield from finished(bucket, parts, train)
                     parts, train = [], []
                 bucket = own
                 parts.append(tokens(text))
                 train.append(bool(learn))
         if parts:
-            yield finished(bucket, parts, train)
+            yield from finished(bucket, parts, train)
         give_back()
 
     small_batches(rows.sparkSession)
@@ -131,7 +137,7 @@ def answers(asked: DataFrame, order: int) -> DataFrame:
         rows = t.num_rows
         cols, n, v = [], 0, 0
         for g in range(1, order + 1):
-            keys = [unplanes(x, "<u8") for x in t.column(f"keys{g}").to_pylist()]
+            keys = [unplanes(x, "<u8", 2 * (g > 1)) for x in t.column(f"keys{g}").to_pylist()]
             counts = np.concatenate([unplanes(x, "<u4") for x in t.column(f"counts{g}").to_pylist()])
             sizes = [len(k) for k in keys]
             _, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -179,7 +185,7 @@ def score(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), t
     cols = {f"_k{i}": F.col(f"`{c}`") for i, c in enumerate(keep)}
     bucket = F.shiftright(F.monotonically_increasing_id(), bucket_bits)
     rows = docs.select(*[c.alias(k) for k, c in cols.items()], F.coalesce(learn, F.lit(False)).alias("_train"), text_bytes(F.col(f"`{text}`")).alias("_text"), bucket.alias("_bucket"))
-    shard_bits = max(4, math.ceil(math.log2(2 * max(1, rows.rdd.getNumPartitions()))))
+    shard_bits = max(4, math.ceil(math.log2(8 * max(1, rows.rdd.getNumPartitions()))))
     asked = requests(rows.select("_bucket", "_train", "_text"), order, shard_bits)
     told = materialize(answers(asked, order))
     n, v = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
