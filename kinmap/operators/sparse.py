@@ -201,9 +201,8 @@ def sinkhorn(sim: DataFrame, reg: float = 1e-3, rounds: int = 300, tolerance: fl
     v = cells.select("trg").distinct().withColumn("v", F.lit(0.0))
 
     def lse(joined: DataFrame, key: str, term: Column, total: int, out: str) -> DataFrame:
-        t = joined.select(key, term.alias("t"))
-        top = t.groupBy(key).agg(F.max("t").alias("top"))
-        sums = t.join(top, key).groupBy(key).agg((F.first("top") + F.log(F.sum(F.exp(F.col("t") - F.col("top"))))).alias("l"))
+        t = joined.select(key, term.alias("t")).withColumn("top", F.max("t").over(W.partitionBy(key)))
+        sums = t.groupBy(key).agg((F.first("top") + F.log(F.sum(F.exp(F.col("t") - F.col("top"))))).alias("l"))
         return sums.select(key, (F.lit(-math.log(total)) - F.col("l")).alias(out))
 
     u = None
