@@ -177,7 +177,7 @@ class Automaton:
         return seen, np.log10(root), np.log10(p)
 
 
-def score(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text", strength: tuple[float, ...] = (400.0, 10.0), bucket_bits: int = 12) -> DataFrame:
+def score(docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",), text: str = "text", strength: tuple[float, ...] = (400.0,), bucket_bits: int = 12) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the rows of ``learn``.
 
     ``strength``: K of the histories of one word, of two, ...; their number gives the order."""

@@ -107,7 +107,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, offsets (one more than documents), doc_ids and known of a part."""
     n, total = np.frombuffer(content, "<i8", 2, len(content) - TAIL).tolist()
-    width = content[-8]
+    width = int(content[-8])
     at = total * width + (-total * width % 8)
     offsets = np.append(np.frombuffer(content, "<i8", n, at), total)
     return np.frombuffer(content, f"<u{width}", total), offsets, np.frombuffer(content, "<i8", n, at + 8 * n), np.frombuffer(content, "u1", n, at + 16 * n)
