@@ -46,6 +46,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(col: str | Column = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     c = F.col(col) if isinstance(col, str) else col
@@ -134,4 +142,4 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
 
     body = F.col(f"`{text}`").cast("binary")  # goes over once, also where it is kept
     columns = [body.alias(text) if c == text else F.col(f"`{c}`") for c in keep]
-    return df.select(*columns, *([] if kept else [body.alias("_text")]), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)
+    return df.select(*columns, *([] if kept else [body.alias(fresh(df, "_text"))]), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)
