@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import materialize, shared_dir, table
+from kinmap.llm.common import fresh, materialize, shared_dir, table
 from kinmap.llm.decontaminate import mark
 from kinmap.llm.secret_scan import findings, update_ledger
 from kinmap.llm.segmentation import sampled_segmentations
@@ -30,25 +30,27 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents with a benchmark passage of eight words or more, or windows of two items, go.
 
     An item of fewer than eight words is a window that clean documents may hold by chance: alone it doesn't count."""
-    marked = mark(docs, table(spark, sf_dir, "benchmark"), docs.columns, out="_found")
-    long = F.exists("_found.spans", lambda s: s["end"] - s["start"] >= 8)
-    return marked.filter(~(long | (F.size("_found.items") >= 2))).drop("_found")
+    found = fresh(docs, "_found")
+    marked = mark(docs, table(spark, sf_dir, "benchmark"), docs.columns, out=found)
+    long = F.exists(f"{found}.spans", lambda s: s["end"] - s["start"] >= 8)
+    return marked.filter(~(long | (F.size(f"{found}.items") >= 2))).drop(found)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret in a text is replaced by its kind in brackets; no document goes. n_chars, if there, is renewed."""
-    found = findings(docs, update_ledger(docs, shared_dir(spark), fresh=True), keep=(*docs.columns,), out="_spans")
+    spans = fresh(docs, "_spans")
+    found = findings(docs, update_ledger(docs, shared_dir(spark), fresh=True), keep=(*docs.columns,), out=spans)
     merged = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
             F.struct(F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))
         ),
         lambda acc: F.concat(acc["out"], F.substr("text", (acc["at"] + 1).cast("int"))),
     )
-    clean = found.withColumn("text", F.when(F.size("_spans") > 0, merged).otherwise(F.col("text")))
+    clean = found.withColumn("text", F.when(F.size(spans) > 0, merged).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

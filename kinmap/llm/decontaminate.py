@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import materialize, per_text, table
+from kinmap.llm.common import fresh, materialize, per_text, table
 
 #: Bytes of words: digits, letters, and all of characters beyond ASCII.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -123,20 +123,30 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 8,
             return scan
 
         carry = [*(made.columns if s < n - 1 else [*keep, *own])]
-        own.append(f"_slice{s}")
-        made = per_text(made, carry, f"`_slice{s}` {kind}", make, text)
+        own.append(fresh(docs, f"_slice{s}"))
+        made = per_text(made, carry, f"`{own[-1]}` {kind}", make, text)
         if s < n - 1:
             made = materialize(made)
     if n == 1:
-        return made.withColumnRenamed("_slice0", out)
+        return made.withColumnRenamed(own[0], out)
     every = lambda field: F.flatten(F.array(*[F.col(c)[field] for c in own]))
-    spans = F.array_sort(every("spans"))
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return made.select(*keep, F.struct(F.col(own[0])["n_words"].alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items")).alias(out))
+
+    @F.pandas_udf("array<struct<start:long,end:long>>")
+    def merged(spans: pd.Series) -> pd.Series:
+        return pd.Series([union([(s["start"], s["end"]) for s in x]) for x in spans])
+
+    return made.select(*keep, F.struct(F.col(own[0])["n_words"].alias("n_words"), merged(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items")).alias(out))
+
+
+def union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans that overlap or touch made one, in order."""
+    made: list[dict[str, int]] = []
+    for a, b in sorted(spans):
+        if made and made[-1]["end"] >= a:
+            made[-1]["end"] = max(made[-1]["end"], b)
+        else:
+            made.append({"start": a, "end": b})
+    return made
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -159,10 +169,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, rem
     A document with occurring windows of ``min_items`` items or more is contaminated.
     remove="documents" drops it; remove="spans" keeps it without the hit words.
     """
-    marked = mark(docs, benchmark, docs.columns, size, text=text, out="_found")
-    bad = F.size("_found.items") >= min_items
+    found = fresh(docs, "_found")
+    marked = mark(docs, benchmark, docs.columns, size, text=text, out=found)
+    bad = F.size(f"{found}.items") >= min_items
     if remove == "documents":
-        return marked.filter(~bad).drop("_found")
+        return marked.filter(~bad).drop(found)
     if remove != "spans":
         raise ValueError(remove)
 
@@ -170,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, rem
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut((t or "").encode(), [(s["start"], s["end"]) for s in x]).decode("utf-8", "replace") for t, x in zip(texts, spans, strict=True)], dtype=object)
 
-    return marked.withColumn(text, F.when(bad, without(F.col(text), F.col("_found.spans"))).otherwise(F.col(text))).drop("_found")
+    return marked.withColumn(text, F.when(bad, without(F.col(text), F.col(f"{found}.spans"))).otherwise(F.col(text))).drop(found)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import shared_dir, table
+from kinmap.llm.common import fresh, shared_dir, table
 
 #: Letters of the assignment rule's keyword count in either case; spelled out, so that no engine folds beyond ASCII.
 WORDS = "|".join("".join(c if c in "_?" else f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -123,8 +123,10 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     one = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], F.element_at(kinds, s["kind"]).alias("rule_no"), s["kind"], s["end"]))
     by_blob = current.groupBy("blob").agg(F.sort_array(one).alias("_spans"))
-    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(F.col(f"`{text}`")).alias("_blob"))
-    return paths.join(by_blob, paths["_blob"] == by_blob["blob"], "left").select(*[F.col(f"`{c}`") for c in keep], F.col("_spans").alias(out))
+    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(F.col(f"`{text}`")).alias(blob))
+    by_blob = by_blob.select(F.col("blob").alias(blob), F.col("_spans").alias(spans))
+    return paths.join(by_blob, blob, "left").select(*[F.col(f"`{c}`") for c in keep], F.col(spans).alias(out))
 
 
 def joined(spans: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import materialize, per_text, table
+from kinmap.llm.common import fresh, materialize, per_text, table
 from kinmap.llm.components import components
 
 SEED = 42
@@ -214,19 +214,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     written with their fingerprints; the numbers of the rows that stay are found without the texts, which cross
     the network once, for the final semi-join.
     """
+    node, words, wide, row = (fresh(docs, f"_{x}") for x in ("node", "words", "print", "row"))
     make = lambda: lambda texts: list(zip(*[wide_fingerprints(t, shingle) for t in texts], strict=True)) if texts else [[], [], []]
-    marked = materialize(per_text(docs.withColumn("_row", F.monotonically_increasing_id()), [*docs.columns, "_row"], "_node long, _words binary, _print binary", make, text))
-    nodes = marked.groupBy(F.col("_node").alias("node")).agg(F.min("_words").alias("words"), F.min("_print").alias("print"), F.min(F.col(f"`{doc_id}`")).alias("least"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    marked = materialize(per_text(numbered, [*docs.columns, row], f"`{node}` long, `{words}` binary, `{wide}` binary", make, text))
+    lite = marked.select(F.col(node).alias("node"), F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("id"))
+    nodes = marked.groupBy(F.col(node).alias("node")).agg(F.min(words).alias("words"), F.min(wide).alias("print"))
     nodes = materialize(nodes)
     size = KEY_BITS // 8
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("words", i * size + 1, size)) for i in range(TABLES)])
     found = cells(nodes.select("node", F.explode(keys).alias("k")), cell)
     roots = components(search(found.join(nodes.select("node", "print"), "node").select("k", "i", "j", "node", "print"), bits_at(similarity), WORDS))
-    rooted = nodes.select("node", "least").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    order = F.struct(F.col(f"`{doc_id}`").isNull().alias("a"), F.col(f"`{doc_id}`").alias("b"), F.col("_row").alias("c"))
-    rows = marked.select("_node", "_row", order.alias("_order")).join(rooted.select(F.col("node").alias("_n"), "root"), F.col("_node") == F.col("_n"))
-    stay = rows.groupBy("root").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
-    return marked.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rooted = lite.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
+    stay = rooted.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
+    return marked.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fold, per_text, remembered, table
+from kinmap.llm.common import fold, fresh, per_text, remembered, table
 from kinmap.llm.decontaminate import words_of
 from kinmap.llm.labelled import sample
 
@@ -263,9 +263,10 @@ def threshold(model: Model, lang: Column) -> Column:
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents whose score is below their language's threshold, all columns kept."""
-    scored = score(docs, model, docs.columns, text, "_score")
+    name = fresh(docs, "_score")
+    scored = score(docs, model, docs.columns, text, name)
     at = threshold(model, F.col(lang)) if lang in docs.columns else F.lit(model.thresholds[None])
-    return scored.filter(F.col("_score") < at).drop("_score")
+    return scored.filter(F.col(name) < at).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

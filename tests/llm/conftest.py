@@ -47,7 +47,7 @@ def messy(tmp_path_factory):
     docs += [(100 + i, passage(rng, rng.randint(5, 120))) for i in range(40)]
     docs += [(200 + i, docs[20 + i][1]) for i in range(10)]
     benchmark = [(1, item), (2, passage(rng, 25)), (3, None), (4, ""), (5, "river stone"), (6, item)]
-    labels = [(100 + i, i % 3 > 0, i % 2) for i in range(40)] + [(None, 1, 1), (101, None, None)]
+    labels = [(100 + i, int(i % 3 > 0), i % 2) for i in range(40)] + [(None, 1, 1), (101, None, None)]
     folder = tmp_path_factory.mktemp("messy")
     return write(folder, docs, benchmark, labels, EXTRA), docs, benchmark
 
