@@ -94,7 +94,7 @@ def remembered(key, build: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
-def give_back(most: int = 400 << 20) -> None:
+def give_back(most: int = 500 << 20) -> None:
     """Return free memory to the system, and what is remembered too if the worker holds over ``most`` bytes:
     workers live on after a task, beside those of the next stage."""
     with contextlib.suppress(OSError, ValueError), open("/proc/self/statm") as f:
@@ -136,7 +136,7 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
             texts = [x or b"" for x in b.column(at).to_pylist()]
             made = f(texts, *([b.column(b.num_columns - 1).to_pylist()] if also else []))
             cols = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
-            cols += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
+            cols += [x.cast(arrow.field(n + i).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n + i).type) for i, x in enumerate(made)]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow)
         give_back()
 
