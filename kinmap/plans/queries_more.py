@@ -112,9 +112,9 @@ def procrustes(spark, d):
     return out.select("id", F.round(V.norm(V.minus(F.col("w"), F.col("vec")), 1), 6).alias("difference"))
 
 
-@query("SELECT part, n FROM (VALUES ('test', CAST(300 AS BIGINT)), ('train', CAST(100 AS BIGINT)), ('valid', (SELECT count(*) - 400 FROM customer))) AS t(part, n)")
+@query("SELECT part, n FROM (VALUES ('test', CAST(100 AS BIGINT)), ('train', CAST(30 AS BIGINT)), ('valid', (SELECT count(*) - 130 FROM customer))) AS t(part, n)")
 def random_split(spark, d):
-    return more.random_split(table(spark, d, "customer"), "c_custkey", 300, 100).groupBy("part").agg(F.count("*").alias("n"))
+    return more.random_split(table(spark, d, "customer"), "c_custkey", 100, 30).groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query(sql(", v AS (SELECT id, [((id * 37 + i * 11) % 100) / 50 - 1 for i in range(1, 5)] AS vec FROM e1), rv AS (SELECT DISTINCT r, [((r * 37 + i * 11) % 100) / 50 - 1 for i in range(1, 5)] AS vec FROM g1) SELECT h, g1.r, t, round(list_sum([a.vec[i] * rv.vec[i] * b.vec[i] for i in range(1, 5)]), 6) AS score FROM g1 JOIN v a ON a.id = h JOIN v b ON b.id = t JOIN rv ON rv.r = g1.r", "g1", "e1"))
