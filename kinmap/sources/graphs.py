@@ -220,3 +220,22 @@ def load_similarities(spark: SparkSession, base: str, phases: list[int], dataset
 def log_metrics(spark: SparkSession, path: str, **values) -> None:
     """Append one row of names and values."""
     spark.createDataFrame([{k: str(v) for k, v in values.items()}]).withColumn("at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def read_attributes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(entity, attribute) of lines with an entity and any number of its attributes between tabs."""
+    rows = spark.read.text(paths).select(F.split(F.trim("value"), "\t").alias("f")).filter("f[0] <> ''")
+    return rows.select(F.col("f")[0].alias("entity"), F.explode(F.slice("f", 2, 1 << 20)).alias("attribute"))
+
+
+def encoded_layout(spark: SparkSession, path: str, shift: int = 1) -> dict[str, DataFrame]:
+    """A folder of encoded files: triples_1/2, and whichever is there of training and test pairs and of names."""
+    out = {f"triples{i}": read_encoded_triples(spark, f"{path}/triples_{i}", shift) for i in (1, 2)}
+    for name, files in (("train", ("sup_ent_ids", "ills_x2y")), ("test", ("ref_ent_ids", "test_ills_x2y", "ill_ent_ids"))):
+        found = [f for f in files if exists(spark, f"{path}/{f}")]
+        if found:
+            out[name] = read_pairs(spark, f"{path}/{found[0]}")
+    names = [f"{path}/ent_ids_{i}" for i in (1, 2) if exists(spark, f"{path}/ent_ids_{i}")]
+    if names:
+        out["names"] = read_names(spark, names)
+    return out

@@ -181,6 +181,18 @@ def test_files(spark, tmp_path):
         graphs.read_triples(spark, str(tmp_path / "bad")).collect()
 
 
+def test_encoded_files(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"triples_{i}").write_text("0 0 1\n1 2 0\n")
+    (tmp_path / "ent_ids_1").write_text("0\ta\n1\tb\n")
+    (tmp_path / "ref_ent_ids").write_text("0 1\n")
+    (tmp_path / "attrs").write_text("a\tx\ty\nb\nc\tx\n")
+    d = graphs.encoded_layout(spark, str(tmp_path))
+    assert set(d) == {"triples1", "triples2", "test", "names"}
+    assert sorted(r.r for r in d["triples1"].collect()) == [1, 3] and d["test"].first().trg == 1
+    assert sorted(tuple(r) for r in graphs.read_attributes(spark, [str(tmp_path / "attrs")]).collect()) == [("a", "x"), ("a", "y"), ("c", "x")]
+
+
 def test_vectors_files(spark, tmp_path):
     df = spark.createDataFrame([("cat", [0.5, 1.0]), ("dog", [0.25, -1.0])], "word string, vec array<double>")
     graphs.write_vectors(df, str(tmp_path / "v"))
