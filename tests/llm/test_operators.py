@@ -205,7 +205,7 @@ def test_segmentations_are_distributed_right():
         assert len(set(ids)) == 3
         first[ids[0]] += 1
         second[ids[1]] += 1
-        weight += sum(math.exp(float(x.own.sum()) - segmentation.inclusion(float(x.own.sum()), threshold)) for x in paths)
+        weight += sum(math.exp(x.total - segmentation.inclusion(x.total, threshold)) for x in paths)
     assert weight / n == pytest.approx(1, abs=0.01)
     for k in sorted(true, key=true.get)[-4:]:
         assert first[k] / n == pytest.approx(true[k], abs=0.03)
