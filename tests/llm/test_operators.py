@@ -72,6 +72,24 @@ def test_near_duplicates_go_and_clean_stay(spark):
     assert Counter(got) == Counter([*range(40), 500, None])
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated"])
+def test_contiguous_near_duplicates_go(spark, kind):
+    """Copies with a passage more or less, of similarity 0.80 to 0.92, are candidates, and most are caught."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    pairs = []
+    for i in range(80):
+        base, share = text(rng.randint(100, 600)), 0.81 + 0.11 * i / 80
+        other = base + text(int(len(base) * (1 / share - 1))) if kind == "appended" else base[: int(len(base) * share) + 1]
+        pairs.append((" ".join(base), " ".join(other)))
+    keys = [[simhash.wide_fingerprints(t.encode(), 5)[1] for t in p] for p in pairs]
+    assert all(any(x == y for x, y in zip(a, b, strict=True)) for a, b in keys)
+    df = spark.createDataFrame([(i + 1000 * j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert got >= set(range(80)) and len(got) <= 84
+
+
 def test_decontaminate_modes_and_slices(spark):
     rng = random.Random(4)
     item = passage(rng, 20)
