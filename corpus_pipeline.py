@@ -17,8 +17,9 @@ SEGMENTATIONS = 2
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or above their language's toxicity threshold go. Learns from all label rows of these documents, at most 1500 of each class."""
-    return drop_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
+    """Documents at or above their language's toxicity threshold go. Learns from at most 1500 label rows of each class; all label rows set the thresholds."""
+    labels = table(spark, sf_dir, "labels")
+    return drop_toxic(docs, fit(docs, labels), labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

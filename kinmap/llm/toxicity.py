@@ -5,8 +5,8 @@ its suffix. Filters of several widths run over the word vectors; each filter's r
 is max-pooled over the whole text, and over blocks of ``SPAN`` words whose mean tells
 how often it fires. A logistic unit on both gives the score. Training is by minibatch
 Adagrad on a bounded sample of labelled rows. Decision thresholds are
-calibrated for each language on the rows learned from; a language without enough of
-both classes uses the threshold of all.
+calibrated for each language on all label rows, whatever their number, from counts by score bin; a language
+without enough of both classes uses the threshold of all.
 
 Defined cases: null or empty text has no words and scores by the bias alone; equal
 texts score alike; without labels of both classes every score is 0; a null or unseen
@@ -20,9 +20,10 @@ import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fold, fresh, per_text, remembered, table
+from kinmap.llm.common import fold, fresh, materialize, per_text, remembered, table
 from kinmap.llm.decontaminate import words_of
 from kinmap.llm.labelled import sample
 
@@ -226,20 +227,42 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, per_class: int = 1500, max_bytes: int = 200_000, lang: str = "lang") -> Model:
-    """Learn from at most ``per_class`` labelled rows of each class (see ``labelled.sample``).
-    The language only serves the thresholds."""
-    also = (lang,) if lang in docs.columns else ()
-    rows = sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, max_bytes, also)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, per_class: int = 1500, max_bytes: int = 200_000) -> Model:
+    """Learn from at most ``per_class`` labelled rows of each class (see ``labelled.sample``). Thresholds: see ``thresholds``."""
+    rows = sample(docs, labels, label, F.lit(True) if learn is None else learn, per_class, max_bytes)
     model = Model()
-    texts, y = [bytes(r["text"]) for r in rows], [r["label"] for r in rows]
-    model.train(texts, y)
-    if model.trained:
-        scorer = Scorer(model)
-        model.calibrate([scorer.score(t) for t in texts], y, [r[lang] if also else None for r in rows])
+    model.train([bytes(r["text"]) for r in rows], [r["label"] for r in rows])
     return model
 
 
+#: Score bins in one unit of log-odds, which reach from -30 to 30.
+BINS = 64
+
+
+def thresholds(scored: DataFrame, labels: DataFrame, label: str = "toxic", least: int = 20) -> dict[str | None, float]:
+    """Rows of (doc_id, lang, score) -> for each language the threshold with the best F1 on all its label rows, None for all languages.
+
+    Label rows are counted by language and bin of the score's log-odds; only the counts, at most one row a bin, are put in
+    order. A threshold is the middle of the gap between two bins' scores. A language with fewer than
+    ``least`` rows of a class has none."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    odds = F.log(F.greatest(F.col("score"), F.lit(1e-14))) - F.log(F.greatest(1 - F.col("score"), F.lit(1e-14)))
+    slot = F.floor(F.greatest(F.least(odds, F.lit(30.0)), F.lit(-30.0)) * BINS)
+    by = scored.join(known, "doc_id").groupBy("lang", slot.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("hit"), F.min("score").alias("low"), F.max("score").alias("high"))
+    total = by.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"), F.min("low").alias("low"), F.max("high").alias("high"))
+    own = by.filter("lang is not null").select(F.lit(False).alias("whole"), "lang", "bin", "n", "hit", "low", "high")
+    every = own.union(total.select(F.lit(True), F.lit(None).cast("string"), "bin", "n", "hit", "low", "high"))
+    group = W.partitionBy("whole", "lang")
+    down = group.orderBy(F.desc("bin"))
+    run = down.rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = every.select("*", F.sum("n").over(run).alias("above"), F.sum("hit").over(run).alias("caught"), F.sum("n").over(group).alias("rows"), F.sum("hit").over(group).alias("bad"), F.lead("high").over(down).alias("next"))
+    enough = F.when(F.col("whole"), F.lit(1)).otherwise(F.lit(least))
+    sums = sums.filter((F.col("bad") >= enough) & (F.col("rows") - F.col("bad") >= enough))
+    f1 = 2 * F.col("caught") / (F.col("above") + F.col("bad"))
+    at = F.when(F.col("next").isNull(), F.col("low") / 2).otherwise((F.col("low") + F.col("next")) / 2)
+    return {r["lang"]: r["at"] for r in sums.groupBy("whole", "lang").agg(F.max_by(at, F.struct(f1, F.col("bin"))).alias("at")).collect()}
+
+
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """``keep`` columns and the probability of label 1. The model is about 2 MB, whatever the corpus."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -261,10 +284,15 @@ def threshold(model: Model, lang: Column) -> Column:
     return F.coalesce(F.try_element_at(by, lang), common)
 
 
-def drop_toxic(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents whose score is below their language's threshold, all columns kept."""
+def drop_toxic(docs: DataFrame, model: Model, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+    """The documents whose score is below their language's threshold, all columns kept.
+
+    Every document is scored once; the label rows among them set the thresholds, which the written scores then meet."""
     name = fresh(docs, "_score")
-    scored = score(docs, model, docs.columns, text, name)
+    scored = materialize(score(docs, model, docs.columns, text, name))
+    if model.trained:
+        by = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+        model.thresholds |= thresholds(scored.select(F.col(f"`{doc_id}`").alias("doc_id"), by.alias("lang"), F.col(name).alias("score")), labels)
     at = threshold(model, F.col(lang)) if lang in docs.columns else F.lit(model.thresholds[None])
     return scored.filter(F.col(name) < at).drop(name)
 

@@ -255,6 +255,41 @@ def test_convolution_gradients_and_long_texts():
     assert m.thresholds == {None: 0.5, "en": 0.5}
 
 
+def test_thresholds_count_all_label_rows(spark):
+    """Rows beyond a sample of equal classes move the threshold; brute force over all rows agrees."""
+    rng = random.Random(12)
+    rows = [(i, lang, 1 / (1 + math.exp(-rng.gauss(1.5 if y else -1.5, 1.2))), y) for i, (lang, y) in enumerate([("en", 1)] * 60 + [("en", 0)] * 1500 + [("fr", 1)] * 40 + [("fr", 0)] * 30 + [("de", 1)] * 5 + [(None, 0)] * 90)]
+    scored = spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, score double")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(None, 1), (10**6, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.thresholds(scored, labels)
+    assert set(got) == {None, "en", "fr"}
+
+    def f1(own, at):
+        hit = sum(y for _, _, s, y in own if s >= at)
+        return 2 * hit / (sum(s >= at for _, _, s, _ in own) + sum(y for *_, y in own))
+
+    for lang in got:
+        own = [r for r in rows if lang is None or r[1] == lang]
+        assert f1(own, got[lang]) >= max(f1(own, r[2]) for r in own) - 0.01
+    few = [r for r in rows if r[1] == "en"][:120]
+    m = toxicity.Model()
+    m.calibrate([r[2] for r in few], [r[3] for r in few], ["en"] * 120)
+    assert got["en"] > m.thresholds["en"]
+
+
+def test_drop_toxic_sees_labels_beyond_the_sample(spark):
+    """Thresholds of the stage are those of all label rows, also of those that were not learned from."""
+    rng = random.Random(13)
+    texts = [passage(rng, 40) + (" idiotic scum " if i % 2 else " ") + passage(rng, 20) for i in range(120)] + [passage(rng, 30) + " scum " + passage(rng, 30) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 120 else 0) for i in range(420)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.filter("doc_id < 120"))
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model, labels).collect()}
+    want = toxicity.thresholds(toxicity.score(docs, model, ["doc_id", "lang"]), labels)["en"]
+    assert model.thresholds["en"] == pytest.approx(want)
+    assert kept == {r.doc_id for r in toxicity.score(docs, model, ["doc_id"]).collect() if r.score < want}
+
+
 def test_pipeline(spark, messy):
     import corpus_pipeline
 
