@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.common import fresh, materialize, shared_dir, table
-from kinmap.llm.decontaminate import mark
+from kinmap.llm.decontaminate import mark, without
 from kinmap.llm.secret_scan import findings, update_ledger
 from kinmap.llm.segmentation import sampled_segmentations
 from kinmap.llm.simhash import drop_near_duplicates
@@ -30,11 +30,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage of eight words or more, or windows of two items, go.
 
-    An item of fewer than eight words is a window that clean documents may hold by chance: alone it doesn't count."""
+    An item of fewer than eight words is a window that clean documents may hold by chance: alone it is cut out of
+    the text, and the document stays. n_chars, if there, is renewed."""
     found = fresh(docs, "_found")
     marked = mark(docs, table(spark, sf_dir, "benchmark"), docs.columns, out=found)
     long = F.exists(f"{found}.spans", lambda s: s["end"] - s["start"] >= 8)
-    return marked.filter(~(long | (F.size(f"{found}.items") >= 2))).drop(found)
+    hit = F.size(f"{found}.spans") > 0
+    left = marked.filter(~(long | (F.size(f"{found}.items") >= 2)))
+    clean = left.withColumn("text", without(F.col("text"), F.col(f"{found}.spans"), hit))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.drop(found)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,16 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
+def without(text: Column, spans: Column, bad: Column) -> Column:
+    """The text, where ``bad`` without the hit words. Other texts don't go to Python."""
+
+    @F.pandas_udf("string")
+    def cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut(t.encode(), [(s["start"], s["end"]) for s in x]).decode("utf-8", "replace") for t, x in zip(texts, spans, strict=True)], dtype=object)
+
+    return F.when(bad, cut_out(F.when(bad, text), F.when(bad, spans))).otherwise(text)
+
+
 def n_hit(found: str) -> Column:
     return F.aggregate(F.col(found)["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
@@ -177,11 +187,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, rem
     if remove != "spans":
         raise ValueError(remove)
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut((t or "").encode(), [(s["start"], s["end"]) for s in x]).decode("utf-8", "replace") for t, x in zip(texts, spans, strict=True)], dtype=object)
-
-    return marked.withColumn(text, F.when(bad, without(F.col(text), F.col(f"{found}.spans"))).otherwise(F.col(text))).drop(found)
+    return marked.withColumn(text, without(F.col(text), F.col(f"{found}.spans"), bad)).drop(found)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,6 +290,17 @@ def test_drop_toxic_sees_labels_beyond_the_sample(spark):
     assert kept == {r.doc_id for r in toxicity.score(docs, model, ["doc_id"]).collect() if r.score < want}
 
 
+def test_lone_short_item_is_cut_out(spark, tmp_path):
+    import corpus_pipeline
+    from tests.llm.conftest import write
+
+    texts = ["Before, Seven blue OWLS sang twice! After.", "nothing here", None, "seven blue owls sang twice and one green hat fell"]
+    folder = write(tmp_path, list(enumerate(texts)), [(1, "seven blue owls sang twice"), (2, "one green hat fell")])
+    got = {r.doc_id: r for r in corpus_pipeline.benchmark_passages(spark, table(spark, folder, "documents"), folder).collect()}
+    assert {i: r.text for i, r in got.items()} == {0: "Before, ! After.", 1: texts[1], 2: None}
+    assert got[0].n_chars == len(got[0].text) and got[1].n_chars == len(texts[1])
+
+
 def test_pipeline(spark, messy):
     import corpus_pipeline
 
