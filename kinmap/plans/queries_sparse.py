@@ -290,8 +290,10 @@ _FIRST = "SELECT a.id, a.vec AS e1, b.vec AS r, c.vec AS e2 FROM emb a JOIN emb
 
 
 def _gathered(spark, d):
+    """Every vector with two partners, chosen modulo the number of vectors. The SQL above agrees only on 500 vectors."""
     v = vectors(spark, d).select("id", "vec")
-    a = v.filter("id < 500").withColumnRenamed("vec", "e1").withColumn("_r", (F.col("id") * 7 + 1) % 500).withColumn("_t", (F.col("id") * 3 + 2) % 500)
+    n = max(1, v.count())
+    a = v.withColumnRenamed("vec", "e1").withColumn("_r", (F.col("id") * 7 + 1) % n).withColumn("_t", (F.col("id") * 3 + 2) % n)
     return a.join(v.select(F.col("id").alias("_r"), F.col("vec").alias("r")), "_r").join(v.select(F.col("id").alias("_t"), F.col("vec").alias("e2")), "_t")
 
 
