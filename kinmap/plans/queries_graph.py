@@ -305,14 +305,14 @@ def pair_negatives(spark, d):
 def triple_negatives(spark, d):
     """No corrupted triple is a true one."""
     t = graph(spark, d)
-    bad = match.random_triple_negatives(t.filter("r = 3"), entities(t), 3).select(F.col("h2").alias("h"), "r", F.col("t2").alias("t"))
-    return bad.join(t.filter("r = 3"), ["h", "r", "t"], "left_semi").agg(F.count("*").alias("true_ones"))
+    bad = match.random_triple_negatives(t, entities(t), 3).select(F.col("h2").alias("h"), "r", F.col("t2").alias("t"))
+    return bad.join(t, ["h", "r", "t"], "left_semi").agg(F.count("*").alias("true_ones"))
 
 
 @query(sql(", x AS (SELECT * FROM g1 WHERE r = 4), n AS (SELECT DISTINCT h FROM x) SELECT 0 AS foreign_ends, count(*) > 0 AS any FROM n", "g1"))
 def typed_negatives(spark, d):
     """Replaced ends come from the same place of the same relation."""
-    x = graph(spark, d).filter("r = 4")
+    x = graph(spark, d)
     bad = match.random_triple_negatives(x, entities(x), 3, typed=True)
-    foreign = bad.join(x.select(F.col("h").alias("h2")), "h2", "left_anti").count() + bad.join(x.select(F.col("t").alias("t2")), "t2", "left_anti").count()
+    foreign = bad.join(x.select("r", F.col("h").alias("h2")), ["r", "h2"], "left_anti").count() + bad.join(x.select("r", F.col("t").alias("t2")), ["r", "t2"], "left_anti").count()
     return bad.agg(F.lit(foreign).cast("int").alias("foreign_ends"), (F.count("*") > 0).alias("any"))

@@ -24,3 +24,13 @@ def test_decoders_score_every_vector(spark, tmp_path):
     for i in got:
         want = -math.dist([a + b for a, b in zip(v[i], v[(i * 7 + 1) % n], strict=True)], v[(i * 3 + 2) % n])
         assert abs(got[i] - want) < 1e-5
+
+
+def test_negatives_use_the_whole_graph(spark, monkeypatch):
+    from kinmap.operators import match
+
+    seen, real = [], match.random_triple_negatives
+    monkeypatch.setattr(match, "random_triple_negatives", lambda t, *a, **k: (seen.append({r.r for r in t.select("r").distinct().collect()}), real(t, *a, **k))[1])
+    assert QUERIES["triple_negatives"](spark, "/root/testdata/sf0.001").first()[0] == 0
+    assert tuple(QUERIES["typed_negatives"](spark, "/root/testdata/sf0.001").first()) == (0, True)
+    assert seen == [{1, 2, 3, 4, 5}] * 2
