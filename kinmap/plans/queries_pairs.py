@@ -208,7 +208,7 @@ def set_operations(spark, d):
 
 @query()
 def sinkhorn(spark, d):
-    return rounded(sparse.sinkhorn(similarity(spark, d).filter("src < 100 and trg < 100"), reg=0.05, rounds=50))
+    return rounded(sparse.sinkhorn(similarity(spark, d), reg=0.05, rounds=50))
 
 
 @query()

@@ -34,3 +34,10 @@ def test_negatives_use_the_whole_graph(spark, monkeypatch):
     assert QUERIES["triple_negatives"](spark, "/root/testdata/sf0.001").first()[0] == 0
     assert tuple(QUERIES["typed_negatives"](spark, "/root/testdata/sf0.001").first()) == (0, True)
     assert seen == [{1, 2, 3, 4, 5}] * 2
+
+
+def test_sinkhorn_has_every_cell(spark, tmp_path):
+    n = 220
+    embeddings(tmp_path, n)
+    rows = QUERIES["sinkhorn"](spark, str(tmp_path)).collect()
+    assert {(r.src, r.trg) for r in rows} == {(a, b) for a in range(0, n, 2) for b in range(1, n, 2)}
