@@ -28,7 +28,7 @@ _TWO = "a AS (SELECT DISTINCT least(l_suppkey, l_linenumber) AS u, greatest(l_su
 
 
 def _edges(spark, d):
-    a = table(spark, d, "lineitem").filter("l_suppkey <= 12").select(F.col("l_suppkey").alias("h"), F.col("l_linenumber").cast("long").alias("t"))
+    a = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("h"), F.col("l_linenumber").cast("long").alias("t"))
     b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("h"), F.col("s_nationkey").cast("long").alias("t"))
     return more.two_colour_edges(a, b)
 

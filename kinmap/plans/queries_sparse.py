@@ -74,7 +74,7 @@ def _flipped(df):
 
 def _product(spark, d):
     c = cells(spark, d)
-    return sparse.product(c.filter("src <= 40"), _flipped(c))
+    return sparse.product(c, _flipped(c))
 
 
 @query(sql(_PRODUCT + " SELECT src, trg, round(score, 4) AS score FROM p", "cells"))
@@ -85,14 +85,14 @@ def sparse_product(spark, d):
 @query(sql(_PRODUCT + " SELECT src, trg, round(score, 4) AS score FROM p", "cells"))
 def sparse_product_salted(spark, d):
     c = cells(spark, d)
-    return sparse.product(c.filter("src <= 40"), _flipped(c), salt=4).withColumn("score", F.round("score", 4))
+    return sparse.product(c, _flipped(c), salt=4).withColumn("score", F.round("score", 4))
 
 
 @query(sql(_PRODUCT + """, s AS (SELECT src, trg, exp(score / 1000 - max(score / 1000) OVER (PARTITION BY src)) AS e FROM p), t AS (SELECT src, trg, e / sum(e) OVER (PARTITION BY src) AS score FROM s)
 SELECT src, trg, round(score, 6) AS score FROM t WHERE score >= 0.011""", "cells"))
 def sparse_product_pruned(spark, d):
     c = cells(spark, d)
-    a = sparse.apply(c.filter("src <= 40"), lambda x: x / 1000)
+    a = sparse.apply(c, lambda x: x / 1000)
     return rounded(sparse.pruned_product(a, _flipped(c), 0.011))
 
 

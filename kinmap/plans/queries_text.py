@@ -101,7 +101,7 @@ def minhash_join(spark, d):
 
 @query()
 def string_similarity(spark, d):
-    p = table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"), F.translate("p_name", " ", "_").alias("name"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.translate("p_name", " ", "_").alias("name"))
     return rounded(lsh.string_similarity(p.filter("id % 2 = 0"), p.filter("id % 2 = 1")))
 
 

@@ -41,3 +41,33 @@ def test_sinkhorn_has_every_cell(spark, tmp_path):
     embeddings(tmp_path, n)
     rows = QUERIES["sinkhorn"](spark, str(tmp_path)).collect()
     assert {(r.src, r.trg) for r in rows} == {(a, b) for a in range(0, n, 2) for b in range(1, n, 2)}
+
+
+def test_names_and_suppliers_beyond_the_old_ranges(spark, tmp_path):
+    rng = random.Random(2)
+    pq.write_table(pa.table({"p_partkey": pa.array([1000, 1001, 1003], pa.int64()), "p_name": ["red small iron box", "red small iron box", "blue cup"]}), f"{tmp_path}/part.parquet")
+    got = [(r.src, r.trg, r.score) for r in QUERIES["string_similarity"](spark, str(tmp_path)).collect()]
+    assert got == [(1000, 1001, 1.0)]
+    items = [(rng.randint(30, 60), rng.randint(1, 8), float(rng.randint(1, 9)), rng.randint(1, 7)) for _ in range(200)]
+    cols = ("l_suppkey", "l_partkey", "l_quantity", "l_linenumber")
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+    pq.write_table(pa.table({c: pa.array([x[i] for x in items], k) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))}), f"{tmp_path}/lineitem.parquet")
+    pq.write_table(pa.table({"s_suppkey": pa.array(range(30, 61), pa.int64()), "s_nationkey": pa.array([i % 7 for i in range(31)], pa.int32())}), f"{tmp_path}/supplier.parquet")
+    cell = {}
+    for s, p, q, _ in items:
+        cell[s, p] = cell.get((s, p), 0) + q
+    want = {}
+    for (s, p), x in cell.items():
+        for (s2, p2), y in cell.items():
+            if p == p2:
+                want[s, s2] = want.get((s, s2), 0) + x * y
+    for name in ("sparse_product", "sparse_product_salted"):
+        assert {(r.src, r.trg): r.score for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
+    assert max(r.src for r in QUERIES["sparse_product_pruned"](spark, str(tmp_path)).collect()) > 40
+    colour = {}
+    for s, _, _, line in items:
+        colour[line, s] = 1
+    for i in range(31):
+        key = (i % 7, 30 + i)
+        colour[key] = colour.get(key, 0) % 2 + 2
+    assert {(r.u, r.v): r.colour for r in QUERIES["two_colour_edges"](spark, str(tmp_path)).collect()} == colour
