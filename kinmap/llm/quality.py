@@ -16,6 +16,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,34 @@ BUCKETS = 1 << 16
 SAME = 0
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of the word and of its character n-grams."""
-    marked = b"<" + word[:200] + b">"
+#: Bytes of a word whose n-grams are hashed one by one; those of longer words by blocks in numpy.
+SHORT, BLOCK = 200, 1 << 16
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1).astype(np.uint32)
+
+
+def grams(data: np.ndarray, n: int) -> np.ndarray:
+    """zlib.crc32(gram, n) of each run of n bytes."""
+    crc = np.full(len(data) - n + 1, n ^ 0xFFFFFFFF, np.uint32)
+    for j in range(n):
+        crc = CRC[(crc ^ data[j : len(data) - n + 1 + j]) & 255] ^ (crc >> np.uint32(8))
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+def features(word: bytes) -> Iterator[np.ndarray | list[int]]:
+    """Buckets of the word and of all its character n-grams, in blocks."""
+    marked = b"<" + word + b">"
     crc = zlib.crc32
-    return [1 + crc(word, 7) % (BUCKETS - 1)] + [1 + crc(marked[i : i + n], n) % (BUCKETS - 1) for n in SIZES for i in range(len(marked) - n + 1)]
+    whole = [1 + crc(word, 7) % (BUCKETS - 1)]
+    if len(word) <= SHORT:
+        yield whole + [1 + crc(marked[i : i + n], n) % (BUCKETS - 1) for n in SIZES for i in range(len(marked) - n + 1)]
+        return
+    yield whole
+    data = np.frombuffer(marked, np.uint8)
+    for n in SIZES:
+        for at in range(0, len(data) - n + 1, BLOCK):
+            yield 1 + (grams(data[at : at + BLOCK + n - 1], n) % np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
 def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +66,9 @@ def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     found: Counter = Counter()
     for w, n in Counter(words).items():
-        for f in features(w):
-            found[f] += n
+        for block in features(w):
+            for f, k in Counter(block if isinstance(block, list) else block.tolist()).items():
+                found[f] += n * k
     if same := sum(a == b for a, b in zip(words, words[1:], strict=False)):
         found[SAME] += same * 4
     ids = np.fromiter(found.keys(), np.int32, len(found))
@@ -118,9 +143,11 @@ class Scorer:
                 size = 2 * (len(self.place) + len(new))
                 self.sums, self.counts = np.resize(self.sums, size), np.resize(self.counts, size)
             for w in new:
-                ids = features(w)
                 at = self.place[w] = len(self.place)
-                self.sums[at], self.counts[at] = self.values[ids].sum(), len(ids)
+                self.sums[at] = self.counts[at] = 0
+                for ids in features(w):
+                    self.sums[at] += self.values[ids].sum()
+                    self.counts[at] += len(ids)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def score(self, text: bytes) -> float:

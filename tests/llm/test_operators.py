@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from kinmap.llm import decontaminate, media, pieces, secret_scan, segmentation, simhash, token_counts, token_files, toxicity
+from kinmap.llm import decontaminate, media, pieces, quality, secret_scan, segmentation, simhash, token_counts, token_files, toxicity
 from kinmap.llm.common import remove, shared_dir, table
 from kinmap.llm.components import components
 from tests.llm.conftest import passage
@@ -290,6 +290,20 @@ def test_drop_toxic_sees_labels_beyond_the_sample(spark):
     assert kept == {r.doc_id for r in toxicity.score(docs, model, ["doc_id"]).collect() if r.score < want}
 
 
+@pytest.mark.parametrize("size", [1, 200, 201, 500, 140_000])
+def test_quality_counts_the_whole_word(size):
+    rng = random.Random(size)
+    word = bytes(rng.randrange(33, 256) for _ in range(size))
+    marked = b"<" + word + b">"
+    want = Counter([1 + zlib.crc32(word, 7) % (quality.BUCKETS - 1)] + [1 + zlib.crc32(marked[i : i + n], n) % (quality.BUCKETS - 1) for n in quality.SIZES for i in range(len(marked) - n + 1)])
+    assert Counter(int(f) for block in quality.features(word) for f in block) == want
+    ids, share = quality.counted(word)
+    assert set(ids.tolist()) == set(want)
+    values = np.random.default_rng(1).normal(size=quality.BUCKETS)
+    z = sum(values.astype(np.float32).astype(np.float64)[f] * k for f, k in want.items()) / want.total()
+    assert quality.Scorer(values, 0.1).score(word) == pytest.approx(1 / (1 + math.exp(-z - 0.1)), abs=1e-6)
+
+
 def test_lone_short_item_is_cut_out(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.conftest import write
