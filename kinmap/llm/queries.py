@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinmap.llm.decontaminate import OP3_SQL, op3_decontaminate
-from kinmap.llm.language_model import op4_lm_scoring
+from kinmap.llm.language_model import OP4_SQL, op4_lm_scoring
 from kinmap.llm.media import op8_media
 from kinmap.llm.quality import op5_quality
 from kinmap.llm.secret_scan import OP9_SQL, op9_secret_scan
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op4_lm_scoring": OP4_SQL,
     "op9_secret_scan": OP9_SQL,
 }
