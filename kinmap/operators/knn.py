@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,22 +27,55 @@ def ranked(sim: DataFrame, by: str = "src") -> DataFrame:
     return sim.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), o)).cast("long"))
 
 
-def all_pairs(src: DataFrame, trg: DataFrame, score: Column) -> DataFrame:
-    """Every pair of two small tables (id, vec), scored by an expression over ``a`` and ``b``. For checks and small sides; use ``nearest`` for large ones."""
-    a = src.select(F.col("id").alias("src"), V.doubles(F.col("vec")).alias("a"))
-    b = trg.select(F.col("id").alias("trg"), V.doubles(F.col("vec")).alias("b"))
-    return a.crossJoin(b).select("src", "trg", score.alias("score"))
+def packed(side: DataFrame, rows: int, group: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) -> blocks of about ``rows`` vectors each, (_g, block, ids, vecs), and the number of blocks of each group, (_g, n).
 
+    A group is cut by its own size; without groups all is one group."""
+    marked = side.withColumn("_g", F.col(group) if group else F.lit(0))
+    sizes = marked.groupBy("_g").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("n"))
+    cut = marked.join(sizes if group else F.broadcast(sizes), "_g")  # without groups sizes are one row
+    blocks = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).groupBy("_g", "block")
+    return blocks.agg(F.collect_list("id").alias("ids"), F.collect_list(V.doubles(F.col("vec"))).alias("vecs")), sizes
 
-def packed(side: DataFrame, rows: int, group: Column | None = None) -> DataFrame:
-    """(id, vec) -> blocks of about ``rows`` vectors each: (block, ids, vecs)."""
-    n = max(1, -(-side.count() // rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    keys = ["_g", "block"] if group is not None else ["block"]
-    marked = side.withColumn("block", block)
-    if group is not None:
-        marked = marked.withColumn("_g", group)
-    return marked.groupBy(*keys).agg(F.collect_list("id").alias("ids"), F.collect_list(V.doubles(F.col("vec"))).alias("vecs"))
+
+def block_pairs(src: DataFrame, trg: DataFrame, rows: int, group: str | None = None) -> DataFrame:
+    """(s, sv, t, tv): ids and vectors of each block of either side that share a group. Neither side is broadcast; a block crosses
+    the network once for each block of the other side in its group, which is the price of an exact search."""
+    a, _ = packed(src, rows, group)
+    b, n = packed(trg, rows, group)
+    a = a.join(n if group else F.broadcast(n), "_g")
+    a = a.select("_g", F.col("ids").alias("s"), F.col("vecs").alias("sv"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tb"))
+    return a.join(b.select("_g", F.col("block").alias("tb"), F.col("ids").alias("t"), F.col("vecs").alias("tv")), ["_g", "tb"]).select("s", "sv", "t", "tv")
+
+
+def dense(src: DataFrame, trg: DataFrame, metric: str = "sqeuclidean", rows: int = 512) -> DataFrame:
+    """Every cell of two vector tables: (src, trg, score). For operators whose result is the whole matrix; ``nearest`` gives the best ones.
+    Each pair of blocks is scored row by row in a task of its own, so equal vectors have equal scores."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for s, sv, t, tv in zip(frame.s, frame.sv, frame.t, frame.tv, strict=True):
+                x, y, t = np.stack([np.asarray(v, float) for v in sv]), np.stack([np.asarray(v, float) for v in tv]), np.asarray(t)
+                for at in range(0, len(x), 64):
+                    m = np.stack([row_scores(v, y, metric) for v in x[at : at + 64]])
+                    yield pd.DataFrame({"src": np.repeat(np.asarray(s)[at : at + 64], len(t)), "trg": np.tile(t, len(m)), "score": m.ravel()})
+
+    own = lambda df: df.select("id", "vec")
+    return block_pairs(own(src), own(trg), rows).mapInPandas(score, "src long, trg long, score double")
+
+
+def row_scores(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """One vector against many."""
+    if metric in ("inner", "cosine"):
+        dot = np.einsum("ij,j->i", y, x)
+        return dot if metric == "inner" else dot / np.maximum(np.linalg.norm(x) * np.linalg.norm(y, axis=1), 1e-8)
+    d = y - x
+    if metric == "manhattan":
+        return 1 - np.abs(d).sum(axis=1)
+    square = np.einsum("ij,ij->i", d, d)
+    if metric in ("sqeuclidean", "euclidean"):
+        return 1 - (square if metric == "sqeuclidean" else np.sqrt(square))
+    raise ValueError(f"unknown metric {metric}")
 
 
 def nearest(src: DataFrame, trg: DataFrame, k: int = 50, metric: str = "sqeuclidean", rows: int = 2048, exclude_self: bool = False, normalize: bool = False, group: str | None = None) -> DataFrame:
@@ -50,15 +83,9 @@ def nearest(src: DataFrame, trg: DataFrame, k: int = 50, metric: str = "sqeuclid
 
     Both sides are packed into blocks of bounded size. Each pair of blocks is one matrix product in a task of its
     own that gives at most k cells for each source; the final top-k then merges a source's blocks. Neither
-    side is broadcast. ``group``: only pairs that agree in this column."""
-    keys = ["_g"] if group else []
-    own = lambda df: F.col(group) if group else None
+    side is broadcast. ``group``: only pairs that agree in this column; each group has blocks by its own size."""
     prepared = lambda df: df.select("id", (V.unit(V.doubles(F.col("vec"))) if normalize else V.doubles(F.col("vec"))).alias("vec"), *([group] if group else []))
-    src, trg = prepared(src), prepared(trg)
-    a = packed(src, rows, own(src)).select(*keys, F.col("block").alias("sb"), F.col("ids").alias("s"), F.col("vecs").alias("sv"))
-    b = packed(trg, rows, own(trg)).select(*keys, F.col("block").alias("tb"), F.col("ids").alias("t"), F.col("vecs").alias("tv"))
-    n = max(1, -(-trg.count() // rows))
-    pairs = a.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(b, [*keys, "tb"])
+    pairs = block_pairs(prepared(src), prepared(trg), rows, group)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -75,7 +102,7 @@ def nearest(src: DataFrame, trg: DataFrame, k: int = 50, metric: str = "sqeuclid
                     i, j = np.nonzero((m >= edge[:, None]) & (m > -np.inf))
                     yield pd.DataFrame({"src": s[at + i], "trg": t[j], "score": m[i, j]})
 
-    found = pairs.select("s", "sv", "t", "tv").mapInPandas(score, "src long, trg long, score double")
+    found = pairs.mapInPandas(score, "src long, trg long, score double")
     return top_k(found, k)
 
 

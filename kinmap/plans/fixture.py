@@ -19,7 +19,7 @@ BASE = """
 """
 GRAPH1 = f"SELECT DISTINCT CAST(h AS BIGINT) AS h, CAST(r AS BIGINT) AS r, CAST(t AS BIGINT) AS t FROM ({BASE}) b WHERE k % 5 <> 1"
 GRAPH2 = f"SELECT DISTINCT CAST(h AS BIGINT) + 10000000 AS h, CAST(r AS BIGINT) AS r, CAST(t AS BIGINT) + 10000000 AS t FROM ({BASE}) b WHERE k % 5 <> 2"
-#: CTEs for the SQL side: g1, g2 (triples), e1, e2 (entities), link (src, trg, is_train), emb (id, vec), sim (src, trg, score).
+#: CTEs for the SQL side: g1, g2 (triples), e1, e2 (entities), link (src, trg, is_train), emb (id, vec), cell (every src, trg, score), sim (the 50 best cells of each src).
 _named = {t: t for t in TABLES}
 CTES = {
     "g1": GRAPH1.format(**_named),
@@ -31,16 +31,19 @@ CTES = {
     "emb": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings",
     "va": "SELECT id, vec FROM emb WHERE id % 2 = 0",
     "vb": "SELECT id, vec FROM emb WHERE id % 2 = 1",
-    "sim": "SELECT va.id AS src, vb.id AS trg, 1 - list_distance(va.vec, vb.vec) * list_distance(va.vec, vb.vec) AS score FROM va, vb",
+    "cell": "SELECT va.id AS src, vb.id AS trg, 1 - list_distance(va.vec, vb.vec) * list_distance(va.vec, vb.vec) AS score FROM va, vb",
+    "sim": "SELECT src, trg, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS place FROM cell) WHERE place <= 50",
     "cells": "SELECT l_suppkey AS src, l_partkey AS trg, sum(l_quantity) AS score FROM lineitem GROUP BY 1, 2",
 }
-_NEEDS = {"e1": ["g1"], "e2": ["g2"], "link": ["g1", "g2", "e1", "e2"], "train": ["g1", "g2", "e1", "e2", "link"], "va": ["emb"], "vb": ["emb"], "sim": ["emb", "va", "vb"]}
+_NEEDS = {"e1": ["g1"], "e2": ["g2"], "link": ["g1", "g2", "e1", "e2"], "train": ["g1", "g2", "e1", "e2", "link"], "va": ["emb"], "vb": ["emb"], "cell": ["emb", "va", "vb"], "sim": ["emb", "va", "vb", "cell"]}
+#: Read more than once, and dear: DuckDB shall not put their text in for each.
+_ONCE = ("emb", "va", "vb", "cell", "sim", "g1", "g2", "e1", "e2")
 
 
 def sql(body: str, *names: str) -> str:
     """``body`` with the named CTEs, and what those need, in front. A body may go on with more CTEs: it then starts with ", name AS"."""
     order = [n for n in CTES if n in {x for y in names for x in [*_NEEDS.get(y, []), y]}]
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + (f"\n{body}" if not body.lstrip().startswith(",") else body)
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _ONCE else ''}({CTES[n]})" for n in order) + (f"\n{body}" if not body.lstrip().startswith(",") else body)
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -70,11 +73,17 @@ def vectors(spark: SparkSession, d: str, rest: int | None = None) -> DataFrame:
 
 
 def similarity(spark: SparkSession, d: str) -> DataFrame:
-    """All cells of the even and the odd vectors: 1 - squared distance."""
-    from kinmap.functions.vectors import squared_distance
-    from kinmap.operators.knn import all_pairs
+    """The 50 best cells of each even vector among the odd ones: 1 - squared distance."""
+    from kinmap.operators.knn import nearest
 
-    return all_pairs(vectors(spark, d, 0), vectors(spark, d, 1), F.lit(1.0) - squared_distance(F.col("a"), F.col("b")))
+    return nearest(vectors(spark, d, 0), vectors(spark, d, 1), 50)
+
+
+def every_cell(spark: SparkSession, d: str, metric: str = "sqeuclidean") -> DataFrame:
+    """All cells of the even and the odd vectors, for operators whose result is the dense matrix."""
+    from kinmap.operators.knn import dense
+
+    return dense(vectors(spark, d, 0), vectors(spark, d, 1), metric)
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:

@@ -196,9 +196,9 @@ def seeded_graph(spark, d):
     return G.entity_graph(t, groups)
 
 
-@query(sql(", x AS (SELECT DISTINCT least(h, t) AS u, greatest(h, t) AS v FROM g1 WHERE h <> t AND r IN (3, 4, 5)), n AS (SELECT u, v, u AS id FROM x UNION ALL SELECT u, v, v FROM x), j AS (SELECT a.u, a.v, b.u AS x, b.v AS y, count(*) AS w FROM n a JOIN n b ON a.id = b.id AND (a.u < b.u OR (a.u = b.u AND a.v < b.v)) GROUP BY 1, 2, 3, 4) SELECT count(*) AS edges, CAST(sum(w) AS BIGINT) AS weight FROM j", "g1"))
+@query(sql(", x AS (SELECT DISTINCT least(h, t) AS u, greatest(h, t) AS v FROM g1 WHERE h <> t), n AS (SELECT u, v, u AS id FROM x UNION ALL SELECT u, v, v FROM x), j AS (SELECT a.u, a.v, b.u AS x, b.v AS y, count(*) AS w FROM n a JOIN n b ON a.id = b.id AND (a.u < b.u OR (a.u = b.u AND a.v < b.v)) GROUP BY 1, 2, 3, 4) SELECT count(*) AS edges, CAST(sum(w) AS BIGINT) AS weight FROM j", "g1"))
 def line_graph(spark, d):
-    return G.line_graph(graph(spark, d).filter("r >= 3")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+    return G.line_graph(graph(spark, d)).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
 @query(sql(", p AS (SELECT id, id % 5 AS part FROM e1), z AS (SELECT part, count(*) AS n FROM p GROUP BY 1) SELECT (SELECT count(*) FROM g1 JOIN p a ON a.id = h JOIN p b ON b.id = t WHERE a.part = b.part) AS kept, (SELECT count(*) FROM g1) AS triples, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS deviation FROM z", "g1", "e1"))
@@ -256,7 +256,7 @@ def highway_gate(spark, d):
     return out.select("id", F.round(V.total(F.col("vec")), 6).alias("total"))
 
 
-@query(sql(""", t1 AS (SELECT * FROM g1 WHERE r >= 3), er AS (SELECT h, t, r, 1.0 / count(*) OVER (PARTITION BY h, t) AS w FROM (SELECT h, t, r FROM t1 UNION ALL SELECT t, h, r + 10 FROM t1)),
+@query(sql(""", t1 AS (SELECT * FROM g1), er AS (SELECT h, t, r, 1.0 / count(*) OVER (PARTITION BY h, t) AS w FROM (SELECT h, t, r FROM t1 UNION ALL SELECT t, h, r + 10 FROM t1)),
 x AS (SELECT id, [greatest(round(sin(id * 0.37 + i), 9), 0) for i in range(1, 5)] AS vec FROM e1), rv AS (SELECT DISTINCT r, [round(sin(r * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM er),
 m AS (SELECT h, t, """ + ", ".join(f"sum(w * vec[{i}]) AS c{i}" for i in range(1, 5)) + """ FROM er JOIN rv USING (r) GROUP BY 1, 2),
 k AS (SELECT h, t, [c1 / l, c2 / l, c3 / l, c4 / l] AS a FROM (SELECT *, sqrt(c1 * c1 + c2 * c2 + c3 * c3 + c4 * c4) + 1e-12 AS l FROM m)),
@@ -266,7 +266,7 @@ g AS (SELECT h, m, 0.1 * s[1] + 0.2 * s[2] + 0.3 * m[1] - 0.4 * m[3] + 0.5 * a[2
 v AS (SELECT h, m, exp(z - max(z) OVER (PARTITION BY h)) AS z FROM g), u AS (SELECT h, m, z / sum(z) OVER (PARTITION BY h) AS p FROM v)
 SELECT h AS id, """ + ", ".join(f"round(greatest(sum(p * m[{i}]), 0), 6) AS c{i}" for i in range(1, 5)) + " FROM u GROUP BY 1", "g1", "e1"))
 def reflected_attention(spark, d):
-    t = graph(spark, d).filter("r >= 3")
+    t = graph(spark, d)
     rel = G.edge_relations(t, 10)
     kernel = [0.1, 0.2, 0.0, 0.0, 0.3, 0.0, -0.4, 0.0, 0.0, 0.5, 0.0, 0.0]
     out = G.reflected_attention(rel, _vec(entities(graph(spark, d))), _vec(rel.select(F.col("r").alias("id")).distinct()), kernel)
@@ -292,10 +292,10 @@ def label_parts(spark, d):
     return G.label_parts(G.entity_graph(t), entities(t), 5).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query(sql(", x AS (SELECT src, trg FROM train WHERE src < 1000000) SELECT count(DISTINCT src) AS pairs FROM x", "train"))
+@query(sql(", x AS (SELECT src, trg FROM train) SELECT count(DISTINCT src) AS pairs FROM x", "train"))
 def pair_negatives(spark, d):
     """Every pair keeps wrong ends, and none of them is the right one."""
-    pairs = train(spark, d).filter("src < 1000000")
+    pairs = train(spark, d)
     e1, e2 = entities(graph(spark, d, 1)), entities(graph(spark, d, 2))
     bad = match.random_pair_negatives(pairs, e1, e2, 5)
     return bad.filter("src <> src2 or trg <> trg2").agg(F.count_distinct("src").alias("pairs"))

@@ -24,7 +24,7 @@ def query(oracle: str | None = None):
     return put
 
 
-_TWO = "a AS (SELECT DISTINCT least(l_suppkey, l_linenumber) AS u, greatest(l_suppkey, l_linenumber) AS v, 1 AS c FROM lineitem WHERE l_suppkey <> l_linenumber AND l_suppkey <= 12), b AS (SELECT DISTINCT least(s_suppkey, s_nationkey) AS u, greatest(s_suppkey, s_nationkey) AS v, 2 AS c FROM supplier WHERE s_suppkey <> s_nationkey), e AS (SELECT u, v, CAST(sum(c) AS INTEGER) AS colour FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)"
+_TWO = "a AS (SELECT DISTINCT least(l_suppkey, l_linenumber) AS u, greatest(l_suppkey, l_linenumber) AS v, 1 AS c FROM lineitem WHERE l_suppkey <> l_linenumber), b AS (SELECT DISTINCT least(s_suppkey, s_nationkey) AS u, greatest(s_suppkey, s_nationkey) AS v, 2 AS c FROM supplier WHERE s_suppkey <> s_nationkey), e AS (SELECT u, v, CAST(sum(c) AS INTEGER) AS colour FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2)"
 
 
 def _edges(spark, d):
@@ -56,7 +56,7 @@ def _vec(ids):
     return ids.select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.round(F.sin(F.col("id") * 0.37 + i), 9)).alias("vec"))
 
 
-_REL = "t1 AS (SELECT * FROM g1 WHERE r >= 3), er AS (SELECT h, t, r, 1.0 / count(*) OVER (PARTITION BY h, t) AS w FROM (SELECT h, t, r FROM t1 UNION ALL SELECT t, h, r + 10 FROM t1)), rv AS (SELECT DISTINCT r, [round(sin(r * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM er)"
+_REL = "t1 AS (SELECT * FROM g1), er AS (SELECT h, t, r, 1.0 / count(*) OVER (PARTITION BY h, t) AS w FROM (SELECT h, t, r FROM t1 UNION ALL SELECT t, h, r + 10 FROM t1)), rv AS (SELECT DISTINCT r, [round(sin(r * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM er)"
 
 
 @query(sql(f""", {_REL}, {_X},
@@ -65,19 +65,19 @@ s AS (SELECT k.h, k.t, q.vec AS n, 0.5 * p.vec[1] - 0.3 * p.vec[2] + 0.4 * q.vec
 v AS (SELECT h, n, CASE WHEN e > 0 THEN e ELSE 0.2 * e END AS e FROM s), w AS (SELECT h, n, exp(e - max(e) OVER (PARTITION BY h)) AS z FROM v), u AS (SELECT h, n, z / sum(z) OVER (PARTITION BY h) AS p FROM w)
 SELECT h AS id, """ + ", ".join(f"round(greatest(sum(p * n[{i}]), 0), 6) AS c{i}" for i in range(1, 5)) + " FROM u GROUP BY 1", "g1", "e1"))
 def additive_attention(spark, d):
-    t = graph(spark, d).filter("r >= 3")
+    t = graph(spark, d)
     rel = G.edge_relations(t, 10)
     out = more.additive_attention(rel, _vec(entities(graph(spark, d))), _vec(rel.select(F.col("r").alias("id")).distinct()), [0.5, -0.3, 0.0, 0.0], [0.0, 0.0, 0.4, 0.0], [0.2, 0.0, 0.0, 0.7])
     return out.select("id", *[F.round(F.col("vec")[3 + i], 6).alias(f"c{i}") for i in range(1, 5)])
 
 
-@query(sql(""", t1 AS (SELECT h AS src, t AS trg, r FROM g1 WHERE r >= 3), x AS (SELECT id, [round(sin(id * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM e1), rv AS (SELECT DISTINCT r, [round(sin(r * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM t1),
+@query(sql(""", t1 AS (SELECT h AS src, t AS trg, r FROM g1), x AS (SELECT id, [round(sin(id * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM e1), rv AS (SELECT DISTINCT r, [round(sin(r * 0.37 + i), 9) for i in range(1, 5)] AS vec FROM t1),
 m AS (SELECT src, a.vec[1] + a.vec[2] AS x1, a.vec[3] AS x2, b.vec[1] + 0.5 * rv.vec[2] AS m1, b.vec[4] - rv.vec[1] AS m2 FROM t1 JOIN x a ON a.id = src JOIN x b ON b.id = trg JOIN rv USING (r)),
 e AS (SELECT src, m1, m2, 0.3 * x1 - 0.1 * x2 + 0.6 * m1 + 0.2 * m2 AS e FROM m), l AS (SELECT src, m1, m2, CASE WHEN e > 0 THEN e ELSE 0.2 * e END AS e FROM e),
 w AS (SELECT src, m1, m2, exp(e - max(e) OVER (PARTITION BY src)) AS z FROM l), p AS (SELECT src, m1, m2, z / sum(z) OVER (PARTITION BY src) AS p FROM w)
 SELECT src AS id, round(sum(p * m1), 6) AS c1, round(sum(p * m2), 6) AS c2 FROM p GROUP BY 1""", "g1", "e1"))
 def relation_attention(spark, d):
-    t = graph(spark, d).filter("r >= 3").select(F.col("h").alias("src"), F.col("t").alias("trg"), "r")
+    t = graph(spark, d).select(F.col("h").alias("src"), F.col("t").alias("trg"), "r")
     own, near = [[1.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]], [[1.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0, -1.0, 0.0, 0.0, 0.0]]
     out = more.relation_attention(t, _vec(entities(graph(spark, d))), _vec(t.select(F.col("r").alias("id")).distinct()), own, near, [0.3, -0.1, 0.6, 0.2])
     return out.select("id", *[F.round(F.col("vec")[i], 6).alias(f"c{i + 1}") for i in range(2)])
@@ -92,23 +92,23 @@ def perceptron(spark, d):
 _PIXEL = lambda i, j: f"(CASE WHEN {i} < 8 THEN e1[{i} * 8 + {j} + 1] ELSE r[({i} - 8) * 8 + {j} + 1] END)"
 
 
-@query(sql(", x AS (SELECT a.id, a.vec AS e1, b.vec AS r, c.vec AS e2 FROM emb a JOIN emb b ON b.id = a.id + 1 JOIN emb c ON c.id = a.id + 2 WHERE a.id < 100), m AS (SELECT id, e2, list_sum([greatest(" + " + ".join(f"{0.1 * (3 * a + b + 1):.1f} * " + _PIXEL(f"(p // 6 + {a})", f"(p % 6 + {b})") for a in range(3) for b in range(3)) + " - 0.2, 0) for p in range(0, 84)]) AS s FROM x) SELECT id, round(list_sum([greatest(0.01 * i * s, 0) * e2[i] for i in range(1, 65)]), 5) AS score FROM m", "emb"))
+@query(sql(", x AS (SELECT a.id, a.vec AS e1, b.vec AS r, c.vec AS e2 FROM emb a JOIN emb b ON b.id = a.id + 1 JOIN emb c ON c.id = a.id + 2), m AS (SELECT id, e2, list_sum([greatest(" + " + ".join(f"{0.1 * (3 * a + b + 1):.1f} * " + _PIXEL(f"(p // 6 + {a})", f"(p % 6 + {b})") for a in range(3) for b in range(3)) + " - 0.2, 0) for p in range(0, 84)]) AS s FROM x) SELECT id, round(list_sum([greatest(0.01 * i * s, 0) * e2[i] for i in range(1, 65)]), 5) AS score FROM m", "emb"))
 def conve_score(spark, d):
     v = vectors(spark, d).select("id", "vec")
-    rows = v.filter("id < 100").withColumnRenamed("vec", "e1").join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("r")), "id").join(v.select((F.col("id") - 2).alias("id"), F.col("vec").alias("e2")), "id")
+    rows = v.withColumnRenamed("vec", "e1").join(v.select((F.col("id") - 1).alias("id"), F.col("vec").alias("r")), "id").join(v.select((F.col("id") - 2).alias("id"), F.col("vec").alias("e2")), "id")
     filters = (0.1 * np.arange(1, 10)).reshape(1, 3, 3)
     dense = 0.01 * np.arange(1, 65)[:, None] * np.ones((1, 84))
     out = more.convolution_scores(rows, filters, np.array([-0.2]), dense, np.zeros(64), height=8)
     return out.withColumn("score", F.round("score", 5))
 
 
-@query(sql("SELECT a.id, round(list_sum([abs(a.vec[i] - b.vec[i]) for i in range(1, 65)]), 6) * 0 AS difference FROM emb a JOIN emb b USING (id) WHERE id < 200", "emb"))
+@query(sql("SELECT a.id, round(list_sum([abs(a.vec[i] - b.vec[i]) for i in range(1, 65)]), 6) * 0 AS difference FROM emb a JOIN emb b USING (id)", "emb"))
 def procrustes(spark, d):
     """Vectors turned by a fixed rotation are turned back by the one that is found."""
     v = vectors(spark, d).select("id", "vec")
     turn = more.orthogonal(np.random.default_rng(5).normal(size=(64, 64)))
     back = more.rotation(more.mapped(v, turn), v, v.select(F.col("id").alias("src"), F.col("id").alias("trg")))
-    out = more.mapped(more.mapped(v.filter("id < 200"), turn), back).withColumnRenamed("vec", "w").join(v, "id")
+    out = more.mapped(more.mapped(v, turn), back).withColumnRenamed("vec", "w").join(v, "id")
     return out.select("id", F.round(V.norm(V.minus(F.col("w"), F.col("vec")), 1), 6).alias("difference"))
 
 

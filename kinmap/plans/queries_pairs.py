@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinmap.operators import evaluate, match, sparse
 from kinmap.operators.knn import csls, top_k
-from kinmap.plans.fixture import rounded, similarity, sql, vectors
+from kinmap.plans.fixture import every_cell, rounded, similarity, sql, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +23,8 @@ def query(oracle: str | None = None):
 
 
 RANKED = ", rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM sim)"
+#: The same over every cell, for full ranks.
+RANKED_CELLS = RANKED.replace("FROM sim", "FROM cell")
 #: No gold links are in the vectors: a source's gold target is the next odd id, where it exists.
 GOLD = ", gold AS (SELECT src, trg FROM (SELECT va.id AS src, va.id + 1 AS trg FROM va) JOIN vb ON vb.id = trg)"
 
@@ -47,10 +49,7 @@ _OTHER = ", two AS (SELECT va.id AS src, vb.id AS trg, list_cosine_similarity(va
 
 
 def _second(spark, d):
-    from kinmap.functions.vectors import cosine
-    from kinmap.operators.knn import all_pairs
-
-    return all_pairs(vectors(spark, d, 0), vectors(spark, d, 1), cosine(F.col("a"), F.col("b"))).filter("(src + trg) % 3 = 0")
+    return every_cell(spark, d, "cosine").filter("(src + trg) % 3 = 0")
 
 
 @query(sql(_OTHER + " SELECT src, trg FROM fr WHERE n = 1 AND m = 1", "sim"))
@@ -128,24 +127,24 @@ def pseudo_labelling(spark, d):
     return match.more_pairs(vectors(spark, d, 0), vectors(spark, d, 1), train)
 
 
-@query(sql(RANKED + GOLD + " SELECT src, trg, n AS rank FROM rk JOIN gold USING (src, trg)", "sim"))
+@query(sql(RANKED_CELLS + GOLD + " SELECT src, trg, n AS rank FROM rk JOIN gold USING (src, trg)", "cell"))
 def gold_ranks(spark, d):
-    return evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+    return evaluate.gold_ranks(every_cell(spark, d), gold(spark, d))
 
 
-@query(sql(RANKED + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 1 AS DOUBLE)), 6) AS hits_1, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10, round(avg(CAST(n <= 50 AS DOUBLE)), 6) AS hits_50, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+@query(sql(RANKED_CELLS + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 1 AS DOUBLE)), 6) AS hits_1, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10, round(avg(CAST(n <= 50 AS DOUBLE)), 6) AS hits_50, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "cell"))
 def hits_mrr(spark, d):
-    ranks = evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+    ranks = evaluate.gold_ranks(every_cell(spark, d), gold(spark, d))
     return rounded(evaluate.hits(ranks, (1, 10, 50)).crossJoin(evaluate.reciprocal(ranks)), "hits_1", "hits_10", "hits_50", "mrr")
 
 
-@query(sql(RANKED + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10 FROM rk JOIN gold USING (src, trg) WHERE src % 8 <> 0", "sim"))
+@query(sql(RANKED_CELLS + GOLD + " SELECT count(*) AS links, round(avg(CAST(n <= 10 AS DOUBLE)), 6) AS hits_10 FROM rk JOIN gold USING (src, trg) WHERE src % 8 <> 0", "cell"))
 def hits_ignoring(spark, d):
-    ranks = evaluate.gold_ranks(similarity(spark, d), gold(spark, d))
+    ranks = evaluate.gold_ranks(every_cell(spark, d), gold(spark, d))
     return rounded(evaluate.hits(ranks, (10,), F.col("src") % 8 == 0), "hits_10")
 
 
-@query(sql(RANKED + GOLD + " SELECT round(avg(CASE WHEN n <= 10 THEN 1.0 / n ELSE 1.0 / ((SELECT count(*) FROM va) // 2 + 1) END), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+@query(sql(RANKED + GOLD + " SELECT round(avg(CASE WHEN n <= 10 THEN 1.0 / n ELSE 1.0 / ((SELECT count(*) FROM va) // 2 + 1) END), 6) AS mrr FROM gold LEFT JOIN rk USING (src, trg)", "sim"))
 def truncated_mrr(spark, d):
     return rounded(evaluate.truncated(similarity(spark, d), gold(spark, d), 10, vectors(spark, d, 0).count()), "mrr")
 
@@ -172,31 +171,31 @@ def sparse_accuracy(spark, d):
     return rounded(evaluate.accuracy(_sparse(spark, d), gold(spark, d)), "accuracy")
 
 
-@query(sql(RANKED + GOLD + " SELECT round(avg(CAST(n = 1 AS DOUBLE)), 6) AS hits_1, round(avg(n), 6) AS mean_rank, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "sim"))
+@query(sql(RANKED_CELLS + GOLD + " SELECT round(avg(CAST(n = 1 AS DOUBLE)), 6) AS hits_1, round(avg(n), 6) AS mean_rank, round(avg(1.0 / n), 6) AS mrr FROM rk JOIN gold USING (src, trg)", "cell"))
 def mean_rank(spark, d):
-    return rounded(evaluate.mean_rank(evaluate.gold_ranks(similarity(spark, d), gold(spark, d))), "hits_1", "mean_rank", "mrr")
+    return rounded(evaluate.mean_rank(evaluate.gold_ranks(every_cell(spark, d), gold(spark, d))), "hits_1", "mean_rank", "mrr")
 
 
-@query(sql(RANKED + GOLD + ", j AS (SELECT * FROM rk JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 6) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 6) FROM j", "sim"))
+@query(sql(RANKED_CELLS + GOLD + ", j AS (SELECT * FROM rk JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 6) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 6) FROM j", "cell"))
 def two_way_evaluation(spark, d):
-    return rounded(evaluate.both_ways(similarity(spark, d), gold(spark, d), (5,)), "hits_5", "mrr")
+    return rounded(evaluate.both_ways(every_cell(spark, d), gold(spark, d), (5,)), "hits_5", "mrr")
 
 
-_CSLS_RANKS = """, r AS (SELECT src, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM sim) WHERE n <= 10 GROUP BY src),
-c AS (SELECT trg, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS n FROM sim) WHERE n <= 10 GROUP BY trg),
-x AS (SELECT sim.src, sim.trg, 2 * score - r.m - c.m AS score FROM sim JOIN r ON r.src = sim.src JOIN c ON c.trg = sim.trg),
+_CSLS_RANKS = """, r AS (SELECT src, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM cell) WHERE n <= 10 GROUP BY src),
+c AS (SELECT trg, avg(score) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS n FROM cell) WHERE n <= 10 GROUP BY trg),
+x AS (SELECT cell.src, cell.trg, 2 * score - r.m - c.m AS score FROM cell JOIN r ON r.src = cell.src JOIN c ON c.trg = cell.trg),
 xr AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n, row_number() OVER (PARTITION BY trg ORDER BY score DESC, src) AS m FROM x)"""
 
 
-@query(sql(_CSLS_RANKS + GOLD + ", j AS (SELECT * FROM xr JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 5) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 5) FROM j", "sim"))
+@query(sql(_CSLS_RANKS + GOLD + ", j AS (SELECT * FROM xr JOIN gold USING (src, trg)) SELECT 'l2r' AS way, count(*) AS links, round(avg(CAST(n <= 5 AS DOUBLE)), 6) AS hits_5, round(avg(1.0 / n), 5) AS mrr FROM j UNION ALL SELECT 'r2l', count(*), round(avg(CAST(m <= 5 AS DOUBLE)), 6), round(avg(1.0 / m), 5) FROM j", "cell"))
 def two_way_hub_corrected(spark, d):
-    out = rounded(evaluate.both_ways(similarity(spark, d), gold(spark, d), (5,), hub=10), "hits_5")
+    out = rounded(evaluate.both_ways(every_cell(spark, d), gold(spark, d), (5,), hub=10), "hits_5")
     return out.withColumn("mrr", F.round("mrr", 5))
 
 
-@query(sql(RANKED + GOLD + ", f AS (SELECT src, trg FROM rk WHERE n <= 2) SELECT count(*) FILTER (WHERE gold.src IS NOT NULL) AS hit, count(*) AS found, (SELECT count(*) FROM gold) AS gold, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / count(*), 6) AS precision, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / (SELECT count(*) FROM gold), 6) AS recall FROM f LEFT JOIN gold USING (src, trg)", "sim"))
+@query(sql(RANKED + GOLD + ", f AS (SELECT src, trg FROM rk WHERE n <= 2) SELECT count(*) FILTER (WHERE gold.src IS NOT NULL) AS hit, count(*) AS found, (SELECT count(*) FROM gold) AS gold, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / count(*), 6) AS precision, round(count(*) FILTER (WHERE gold.src IS NOT NULL) / (SELECT count(*) FROM gold), 6) AS recall, round(2 * count(*) FILTER (WHERE gold.src IS NOT NULL) / (count(*) + (SELECT count(*) FROM gold)), 6) AS f1 FROM f LEFT JOIN gold USING (src, trg)", "sim"))
 def pair_precision_recall(spark, d):
-    return rounded(evaluate.pair_scores(top_k(similarity(spark, d), 2), gold(spark, d)).drop("f1"), "precision", "recall")
+    return rounded(evaluate.pair_scores(top_k(similarity(spark, d), 2), gold(spark, d)), "precision", "recall", "f1")
 
 
 @query(sql(RANKED + ", a AS (SELECT src, trg FROM rk WHERE n <= 3), b AS (SELECT src, trg FROM rk WHERE m <= 3) SELECT 'minus' AS op, src, trg FROM a WHERE (src, trg) NOT IN (SELECT (src, trg) FROM b) UNION ALL SELECT 'cross', src, trg FROM a WHERE (src, trg) IN (SELECT (src, trg) FROM b)", "sim"))
@@ -208,7 +207,7 @@ def set_operations(spark, d):
 
 @query()
 def sinkhorn(spark, d):
-    return rounded(sparse.sinkhorn(similarity(spark, d), reg=0.05, rounds=50))
+    return rounded(sparse.sinkhorn(every_cell(spark, d), reg=0.05, rounds=50))
 
 
 @query()

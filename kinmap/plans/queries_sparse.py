@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinmap.functions import vectors as V
 from kinmap.operators import knn, sparse, tokens
-from kinmap.plans.fixture import cells, rounded, similarity, sql, table, vectors
+from kinmap.plans.fixture import cells, every_cell, rounded, similarity, sql, table, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,7 +65,7 @@ def sparse_to_dense(spark, d):
     return sparse.to_dense(five, 5).select("src", *[F.round(F.col("vec")[i], 4).alias(f"c{i}") for i in (0, 1, 4)])
 
 
-_PRODUCT = ", a AS (SELECT src, trg, score FROM cells WHERE src <= 40), p AS (SELECT a.src, b.src AS trg, sum(a.score * b.score) AS score FROM a JOIN cells b ON a.trg = b.trg GROUP BY 1, 2)"
+_PRODUCT = ", p AS (SELECT a.src, b.src AS trg, sum(a.score * b.score) AS score FROM cells a JOIN cells b ON a.trg = b.trg GROUP BY 1, 2)"
 
 
 def _flipped(df):
@@ -181,18 +181,17 @@ def renamed_cells(spark, d):
     return sparse.renamed(cells(spark, d), a, b)
 
 
-@query(sql("SELECT src, trg, round(score, 6) AS score FROM sim WHERE score IS NOT NULL", "sim"))
+@query(sql("SELECT src, trg, round(score, 6) AS score FROM cell WHERE score IS NOT NULL", "cell"))
 def squared_distance_join(spark, d):
-    return rounded(similarity(spark, d))
+    return rounded(every_cell(spark, d))
 
 
 def _metric(expression: str) -> str:
-    return sql(f"SELECT va.id AS src, vb.id AS trg, round({expression}, 6) AS score FROM va, vb WHERE va.id < 200", "va", "vb")
+    return sql(f"SELECT va.id AS src, vb.id AS trg, round({expression}, 6) AS score FROM va, vb", "va", "vb")
 
 
 def _pairs(spark, d, metric):
-    a, b = vectors(spark, d, 0).filter("id < 200"), vectors(spark, d, 1)
-    return rounded(knn.all_pairs(a, b, V.similarity(F.col("a"), F.col("b"), metric)))
+    return rounded(every_cell(spark, d, metric))
 
 
 @query(_metric("list_cosine_similarity(va.vec, vb.vec)"))
@@ -258,8 +257,7 @@ def rerank(spark, d):
 
 @query(sql(", c AS (SELECT va.id AS src, vb.id AS trg, 1 - list_sum([abs(va.vec[i] - vb.vec[i]) for i in range(1, 65)]) AS score FROM va, vb) SELECT a.src, a.trg, greatest(a.n, b.n) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM sim) a JOIN (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, trg) AS n FROM c) b ON a.src = b.src AND a.trg = b.trg", "sim", "va", "vb"))
 def rank_merge(spark, d):
-    other = knn.all_pairs(vectors(spark, d, 0), vectors(spark, d, 1), V.similarity(F.col("a"), F.col("b"), "manhattan"))
-    return knn.rank_max(similarity(spark, d), other)
+    return knn.rank_max(similarity(spark, d), every_cell(spark, d, "manhattan"))
 
 
 @query(sql("SELECT src, trg, row_number() OVER (PARTITION BY src ORDER BY score + CASE WHEN trg = src + 1 THEN 1.0 ELSE 0.0 END DESC, trg) AS rank FROM sim", "sim"))
@@ -286,11 +284,11 @@ def centre_normalize(spark, d):
     return z.select("id", F.round(V.total(F.col("vec")), 5).alias("total"), F.round(F.array_max("vec"), 5).alias("top"))
 
 
-_FIRST = "SELECT a.id, a.vec AS e1, b.vec AS r, c.vec AS e2 FROM emb a JOIN emb b ON b.id = (a.id * 7 + 1) % 500 JOIN emb c ON c.id = (a.id * 3 + 2) % 500 WHERE a.id < 500"
+_FIRST = "SELECT a.id, a.vec AS e1, b.vec AS r, c.vec AS e2 FROM emb a JOIN emb b ON b.id = (a.id * 7 + 1) % (SELECT count(*) FROM emb) JOIN emb c ON c.id = (a.id * 3 + 2) % (SELECT count(*) FROM emb)"
 
 
 def _gathered(spark, d):
-    """Every vector with two partners, chosen modulo the number of vectors. The SQL above agrees only on 500 vectors."""
+    """Every vector with two partners, chosen modulo the number of vectors."""
     v = vectors(spark, d).select("id", "vec")
     n = max(1, v.count())
     a = v.withColumnRenamed("vec", "e1").withColumn("_r", (F.col("id") * 7 + 1) % n).withColumn("_t", (F.col("id") * 3 + 2) % n)

@@ -119,11 +119,13 @@ def shared_postings(spark, d):
     return lsh.shared_postings(w.filter("id % 2 = 0"), w.filter("id % 2 = 1"), hubs).agg(F.count("*").alias("pairs"), F.sum("src").alias("s"), F.sum("trg").alias("t"))
 
 
-_POOL = "m AS (SELECT id, (id * 3 + k * 7) % 500 AS token FROM (SELECT id, unnest(range(0, 3)) AS k FROM emb WHERE id < 400)), x AS (SELECT m.id, i, vec[i] AS v FROM m JOIN (SELECT id AS token, vec, unnest(range(1, 65)) AS i FROM emb) e USING (token))"
+_POOL = "m AS (SELECT id, (id * 3 + k * 7) % (SELECT count(*) FROM emb) AS token FROM (SELECT id, unnest(range(0, 3)) AS k FROM emb)), x AS (SELECT m.id, i, vec[i] AS v FROM m JOIN (SELECT id AS token, vec, unnest(range(1, 65)) AS i FROM emb) e USING (token))"
 
 
 def _members(spark, d):
-    return vectors(spark, d).filter("id < 400").select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("id", ((F.col("id") * 3 + F.col("k") * 7) % 500).alias("token"))
+    v = vectors(spark, d)
+    n = max(1, v.count())
+    return v.select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("id", ((F.col("id") * 3 + F.col("k") * 7) % n).alias("token"))
 
 
 _P2 = "pow(avg(pow(v, 2)), 0.5)"
