@@ -128,6 +128,41 @@ def edge_translate(e1: Column, r: Column, e2: Column, context: Column, p: int =
     return -translate(e1, psi, e2, p)
 
 
+def edge_translate_by_ends(e1: Column, r: Column, e2: Column, weights: list[list[float]], bias: list[float], p: int = 2) -> Column:
+    """As ``edge_translate``, the context being made of both ends by a layer tanh(weights @ [e1, e2] + bias)."""
+    layer = lambda ends: F.array(*[F.tanh(dot(ends, F.array(*map(F.lit, row))) + F.lit(b)) for row, b in zip(weights, bias, strict=True)])
+    return let(F.concat(e1, e2), lambda ends: let(layer(ends), lambda context: edge_translate(e1, r, e2, context, p)))
+
+
+def edge_translate_by_edges(e1: Column, r: Column, e2: Column, layers: list[tuple[list[list[float]], list[float]]], p: int = 2) -> Column:
+    """The relation in the context of its compressed edges: unit layers of [e1, r] and of [r, e2], joined, of length one, through a third
+    layer and tanh; then the distance |e1 + psi - e2|. Layers are tanh(weights @ x + bias), their outputs of length one."""
+
+    def layer(x: Column, which: int) -> Column:
+        weights, bias = layers[which]
+        return let(x, lambda v: unit(F.array(*[F.tanh(dot(v, F.array(*map(F.lit, row))) + F.lit(b)) for row, b in zip(weights, bias, strict=True)]), 1e-12))
+
+    crossed = unit(F.concat(layer(F.concat(e1, r), 1), layer(F.concat(r, e2), 2)), 1e-12)
+    return let(layer(crossed, 0), lambda psi: -translate(e1, F.transform(psi, F.tanh), e2, p))
+
+
+def masked_pool(rows: Column, n: Column, how: str = "max") -> Column:
+    """Element-wise maximum or mean of the first ``n`` of an array of vectors; what is behind them, padding, doesn't count. No vector: null."""
+    own = F.slice(rows, F.lit(1), F.greatest(n, F.lit(0)))
+    if how == "max":
+        best = F.aggregate(own, F.element_at(own, 1), lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y)))
+        return F.when(F.size(own) > 0, best)
+    if how == "mean":
+        total_ = F.aggregate(own, F.transform(F.element_at(own, 1), lambda x: x * 0), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+        return F.when(F.size(own) > 0, F.transform(total_, lambda x: x / F.size(own)))
+    raise ValueError(f"unknown pooling {how}")
+
+
+def weighted_concat(parts: list[tuple[Column, float]]) -> Column:
+    """Vectors of length one each, times their weights, one after the other: inner products are the weighted sums of the parts'."""
+    return F.concat(*[scaled(unit(v, 1e-12), w**0.5) for v, w in parts])
+
+
 def distma(e1: Column, r: Column, e2: Column) -> Column:
     return dot(e1, r) + dot(e1, e2) + dot(r, e2)
 

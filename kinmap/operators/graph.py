@@ -280,6 +280,14 @@ def line_graph(triples: DataFrame) -> DataFrame:
     return at.join(at.select(F.col("e").alias("f"), "id"), "id").filter("e < f").groupBy("e", "f").agg(F.count("*").alias("weight"))
 
 
+def edge_parts(triples: DataFrame, k: int, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """Edges in k balanced parts: the line graph's nodes by label propagation. (u, v, part)."""
+    edges = triples.filter("h <> t").select(F.least("h", "t").alias("u"), F.greatest("h", "t").alias("v")).distinct()
+    lines = line_graph(triples).select(F.col("e").alias("u"), F.col("f").alias("v"), F.col("weight").cast("double").alias("weight"))
+    parts = label_parts(lines, edges.select(F.xxhash64("u", "v").alias("id")), k, rounds=rounds, seed=seed)
+    return edges.join(parts, F.xxhash64("u", "v") == F.col("id")).select("u", "v", "part")
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(part, id) tables -> (src, trg, score): shared members over the source part's size + 0.01."""
     size = a.groupBy(F.col("part").alias("src")).agg(F.count("*").alias("n"))

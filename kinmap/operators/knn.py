@@ -157,11 +157,3 @@ def bonus_rank(sim: DataFrame, chosen: DataFrame, bonus: float = 1.0) -> DataFra
     """Ranks after pairs that are chosen already have had ``bonus`` added."""
     marked = sim.join(chosen.select("src", "trg", F.lit(bonus).alias("_b")), ["src", "trg"], "left")
     return ranked(marked.select("src", "trg", (F.col("score") + F.coalesce("_b", F.lit(0.0))).alias("score")))
-
-
-def low_rank(a: DataFrame, mapping: DataFrame, b: DataFrame, keep: int = 100) -> DataFrame:
-    """a @ mapping @ b^T and the best cells of each row. The product is exact; nothing is approximated by a decomposition."""
-    from kinmap.operators.sparse import product
-
-    flipped = b.select(F.col("trg").alias("src"), F.col("src").alias("trg"), "score")
-    return top_k(product(product(a, mapping), flipped), keep)

@@ -49,8 +49,10 @@ def more_pairs(vectors1: DataFrame, vectors2: DataFrame, train: DataFrame, k: in
     return appended(train, mutual_best(csls(sim, hub)))
 
 
-def above(sim: DataFrame, threshold: float) -> DataFrame:
-    return sim.filter(F.col("score") > threshold)
+def above(sim: DataFrame, threshold: float, greater: bool = True, equal: bool = False) -> DataFrame:
+    """Cells above the threshold, or below it; ``equal``: or at it."""
+    s = F.col("score")
+    return sim.filter((s >= threshold if equal else s > threshold) if greater else (s <= threshold if equal else s < threshold))
 
 
 def potential(sim: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -109,12 +111,31 @@ def paired_greedily(sim: DataFrame, threshold: float, k: int) -> DataFrame:
     return top_k(rows.join(cols, ["src", "trg"]).select("src", "trg", "score"), 1)
 
 
+def widened_triple_negatives(triples: DataFrame, nodes: DataFrame, k: int, seed: int = 0, tries: int = 10) -> DataFrame:
+    """k typed negatives of each triple. One that is a true triple is drawn again, ``tries`` times from the relation's own ends, and then
+    once a round from all nodes until none is left (a node that is linked to all others by every relation would never end: it fails after as many rounds)."""
+    left = store(triples.select("h", "r", "t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")))
+    out = None
+    for attempt in range(2 * tries):
+        made = store(_negatives(left, triples, nodes, seed + attempt, attempt < tries))
+        out = made if out is None else out.unionByName(made)
+        left = store(left.join(made.select("h", "r", "t", "i"), ["h", "r", "t", "i"], "left_anti"))
+        if left.isEmpty():
+            return out
+    raise RuntimeError("some triples have no wrong ends")
+
+
 def random_triple_negatives(triples: DataFrame, nodes: DataFrame, k: int, seed: int = 0, typed: bool = False) -> DataFrame:
     """k corrupted copies of each triple (h, r, t, h2, r, t2, i): head or tail is replaced by another node, or, typed, by one seen in that place
-    of the relation. Copies that are true triples go. Choices are seeded hashes; nodes are picked by dense number, not collected."""
+    of the relation. Copies that are true triples go (``widened_triple_negatives`` draws them again). Choices are seeded hashes; nodes are
+    picked by dense number, not collected."""
+    copies = triples.select("h", "r", "t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    return _negatives(copies, triples, nodes, seed, typed)
+
+
+def _negatives(copies: DataFrame, triples: DataFrame, nodes: DataFrame, seed: int, typed: bool) -> DataFrame:
     from kinmap.sources.graphs import numbered
 
-    copies = triples.select("h", "r", "t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
     pick = F.xxhash64("h", "r", "t", "i", F.lit(seed))
     copies = copies.withColumn("_head", pick > 0)
     if typed:

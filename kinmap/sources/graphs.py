@@ -117,6 +117,22 @@ class Dataset:
         self.pseudo = spark.createDataFrame([], "src long, trg long")
         self.unsupervised = unsupervised
 
+    TABLES = ("triples1", "entity1", "relation1", "triples2", "entity2", "relation2", "links", "pseudo")
+
+    def save(self, path: str) -> None:
+        """Every table as Parquet below ``path``."""
+        for name in self.TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Dataset:
+        """What ``save`` wrote."""
+        made = cls.__new__(cls)
+        for name in cls.TABLES:
+            setattr(made, name, spark.read.parquet(f"{path}/{name}"))
+        made.unsupervised = made.links.filter("is_train").isEmpty()
+        return made
+
     @property
     def train(self) -> DataFrame:
         """Training links and pseudo-links; when unsupervised the latter alone."""
@@ -146,10 +162,31 @@ def large_layout(spark: SparkSession, path: str, lang: str, strict: bool = False
     return Dataset(spark, (f"{path}/{lang}_triples{mid}_1", f"{path}/{lang}_triples{mid}_2"), f"{path}/{lang}_ent_links", **options)
 
 
-def write_delimited(df: DataFrame, path: str, order: list | None = None, sep: str = "\t") -> None:
-    """Text lines of the columns, sorted over all files if an order is given."""
+def write_delimited(df: DataFrame, path: str, order: list | None = None, sep: str = "\t", count: bool = False) -> None:
+    """Text lines of the columns, sorted over all files if an order is given. ``count``: a first file, whose name sorts before the others',
+    holds the number of lines, as a header."""
     rows = df.orderBy(*order) if order else df
     rows.select(F.concat_ws(sep, *[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("value")).write.mode("overwrite").text(path)
+    if count:
+        head = f"{path}/_count"
+        df.agg(F.count("*").cast("string").alias("value")).write.mode("overwrite").text(head)
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(head)
+        fs = where.getFileSystem(conf)
+        (part,) = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/part-00000-0-count.txt"))
+        fs.delete(where, True)
+
+
+def keys_in_order(entity: DataFrame, remap: DataFrame | None = None) -> DataFrame:
+    """A dictionary's keys by number: (id, key), sorted. ``remap`` (id, new): numbers are replaced, and keys without a new one go."""
+    rows = entity if remap is None else entity.join(remap, "id").select(F.col("new").alias("id"), "key")
+    return rows.select("id", "key").orderBy("id")
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """Each row as a JSON text (column value)."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
 
 
 def write_dictionary(entity: DataFrame, path: str) -> None:
