@@ -79,6 +79,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
             yield batch.slice(start)
 
 
+def spread(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``rows`` joined with ``one`` (one row for each ``key``), a hot key's rows in ``salts`` shares: by the hash of column ``by``, so
+    that a task that runs again deals them out alike. ``one`` crosses the network ``salts`` times."""
+    salt = fresh(rows, "_salt")
+    a = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{by}`")), F.lit(salts)).cast("int"))
+    b = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [key, salt], how).drop(salt)
+
+
 #: Texts in one Arrow batch between the JVM and Python, which hold a batch in memory twice.
 BATCH_ROWS = 1000
 
@@ -125,7 +134,8 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
 
     small_batches(df.sparkSession)
     new = T._parse_datatype_string(schema)
-    out = T.StructType([df.schema[c] for c in keep] + list(new.fields))
+    # names go over as numbers: Spark would look for a column with a dot in its name inside another one
+    out = T.StructType([T.StructField(f"_c{i}", df.schema[c].dataType, df.schema[c].nullable) for i, c in enumerate(keep)] + list(new.fields))
     arrow = to_arrow_schema(out, prefers_large_types=False)
     n, kept = len(keep), text in keep
     at = keep.index(text) if kept else n
@@ -141,5 +151,6 @@ def per_text(df: DataFrame, keep: list[str], schema: str, make: Callable[[], Cal
         give_back()
 
     body = F.col(f"`{text}`").cast("binary")  # goes over once, also where it is kept
-    columns = [body.alias(text) if c == text else F.col(f"`{c}`") for c in keep]
-    return df.select(*columns, *([] if kept else [body.alias(fresh(df, "_text"))]), *([F.col(f"`{also}`")] if also else [])).mapInArrow(run, out)
+    columns = [(body if c == text else F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(keep)]
+    sent = df.select(*columns, *([] if kept else [body.alias("_text")]), *([F.col(f"`{also}`").alias("_also")] if also else []))
+    return sent.mapInArrow(run, out).toDF(*keep, *[f.name for f in new.fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import materialize, remove, shared_dir
+from kinmap.llm.common import materialize, remove, shared_dir, spread
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round points all neighbours above a node at its smallest neighbour and so
     never adds rows: n edges stay n at most, whatever the size of a component. Minima are
-    pre-aggregated before they are shuffled, and a hub's edges are rows of a join, which can be split.
+    pre-aggregated before they are shuffled, and a hub's edges are joined in shares.
     Rounds are written to the shared folder; only two sums come to the driver.
     """
     spark = edges.sparkSession
@@ -26,10 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
         before = tuple(now)
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("x"), F.least("u", "low").alias("low"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = spread(both.filter("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = spread(large, low, "u", "v").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         to = shared_dir(spark)
         e = materialize(small.union(low.select("u", "low")).distinct(), to)
         remove(spark, at)

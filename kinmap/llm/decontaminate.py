@@ -1,7 +1,7 @@
 """Benchmark decontamination by exact word windows.
 
 The benchmark's normalised windows are a broadcast hash set whose size is
-checked first. Documents are scanned where they lie: words become numbers of
+checked before and after it is built. Documents are scanned where they lie: words become numbers of
 the benchmark's vocabulary, a rolling hash of each run of known words is looked
 up, and every hit is verified word by word. A benchmark beyond ``max_bytes`` is cut into
 slices of that size, each scanned in a pass of its own; no window is dropped.
@@ -11,9 +11,9 @@ characters beyond ASCII. A window is ``size`` consecutive words of an item; an
 item with fewer words, but not none, is one window.
 
 Defined cases: null or empty texts have no words, spans or items; items without words and
-null item texts give no window; items with the same words all count; an empty
+null item texts give no window; items without an id can't be named and give none either; items with the same words all count; an empty
 benchmark hits nothing; repeated rows are judged one by one; columns outside
-``keep`` are not carried along.
+``keep`` are not carried along, and those within keep their names and values; a very long text is scanned whole, in one go.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from kinmap.llm.common import fresh, materialize, per_text, table
 
 #: Bytes of words: digits, letters, and all of characters beyond ASCII.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Bytes of an index for each byte of its items, at most: a word takes two bytes at least, and a window 20, a number 4, a vocabulary entry 122.
+MOST = 100
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -42,22 +44,41 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The benchmark's windows: vocabulary, rolling hashes by length, and the items of each window."""
+    """The benchmark's windows in flat arrays: word numbers of all items, and for each length of window the sorted hashes, where each
+    window begins and whose it is. Built without a step for each window."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[bytes, list[str]] = {}
-        lengths: dict[int, set[bytes]] = {}
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], "<i4")
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                key = ids[i : i + n].tobytes()
-                own = self.items.setdefault(key, [])
-                if item not in own[-1:]:
-                    own.append(item)
-                lengths.setdefault(n, set()).add(key)
-        self.hashes = {n: np.unique([self.rolled(np.frombuffer(k, "<i4"), n)[0] for k in keys]) for n, keys in lengths.items()}
+        number = self.vocabulary.setdefault
+        words = [words_of(text) for _, text in items]
+        self.names = [name for name, _ in items]
+        lengths = np.array([len(w) for w in words], np.int64)
+        self.ids = np.array([number(w, len(self.vocabulary)) for own in words for w in own], np.int32)
+        begins = np.cumsum(lengths) - lengths
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(size, x) for x in lengths.tolist() if x}):
+            own = np.flatnonzero(lengths >= n if n == size else lengths == n)
+            counts = lengths[own] - n + 1
+            item = np.repeat(own, counts).astype(np.int32)
+            at = begins[item] + np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts)
+            h = self.rolled(self.ids, n)[at]
+            by = np.argsort(h, kind="stable")
+            self.windows[n] = h[by], at[by], item[by]
+
+    def nbytes(self) -> int:
+        """What the index holds: arrays, and about 120 bytes and its letters for a word of the vocabulary."""
+        arrays = self.ids.nbytes + sum(x.nbytes for w in self.windows.values() for x in w)
+        return arrays + sum(120 + len(w) for w in self.vocabulary)
+
+    def owners(self, n: int, place: int, key: np.ndarray) -> set[str]:
+        """The items whose window from this place of the sorted hashes on is really the key."""
+        hashes, at, item = self.windows[n]
+        h, found = hashes[place], set()
+        while place < len(hashes) and hashes[place] == h:
+            if np.array_equal(self.ids[at[place] : at[place] + n], key):
+                found.add(self.names[item[place]])
+            place += 1
+        return found
 
     @staticmethod
     def rolled(ids: np.ndarray, n: int) -> np.ndarray:
@@ -76,7 +97,7 @@ class Windows:
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         items: set[str] = set()
         edges = np.zeros(len(words) + 1, np.int64)
-        for n, hashes in self.hashes.items():
+        for n, (hashes, _, _) in self.windows.items():
             if len(words) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
@@ -86,8 +107,9 @@ class Windows:
             starts = at if len(spread) == len(words) else np.searchsorted(spread, at)
             h = self.rolled(ids[spread], n)[starts]
             slot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in at[hashes[slot] == h].tolist():
-                own = self.items.get(ids[i : i + n].tobytes())
+            hit = np.flatnonzero(hashes[slot] == h)
+            for i, place in zip(at[hit].tolist(), slot[hit].tolist(), strict=True):
+                own = self.owners(n, place, ids[i : i + n])
                 if own:
                     items.update(own)
                     edges[i] += 1
@@ -99,21 +121,25 @@ class Windows:
 
 def sliced(benchmark: DataFrame, max_bytes: int, id_col: str, text: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
     """The benchmark's items in lists of about ``max_bytes`` at most, one item at least, and their number."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")).filter("i is not null")
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t")).filter("i is not null")
     total = rows.agg(F.coalesce(F.sum(F.length("t") + F.length("i")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / max_bytes))
     part = lambda s: rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == s) if n > 1 else rows
     return n, ([(r.i, bytes(r.t)) for r in part(s).collect()] for s in range(n))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 8, max_bytes: int = 32 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "found") -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 8, max_bytes: int = 8 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "found") -> DataFrame:
     """``keep`` columns and a struct ``out`` of n_words, spans (merged word numbers, end exclusive) and items (sorted as strings)."""
     spark = docs.sparkSession
     n, parts = sliced(benchmark, max_bytes, item_id, item_text)
     kind = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
-    made, own = docs.select(*dict.fromkeys([*keep, text])), []
+    col = lambda c: F.col(f"`{c}`")
+    made, own = docs.select(*map(col, dict.fromkeys([*keep, text]))), []
     for s, items in enumerate(parts):
-        shared = spark.sparkContext.broadcast(Windows(items, size))
+        index = Windows(items, size)
+        if index.nbytes() > MOST * max(max_bytes, sum(len(t) + len(i.encode()) for i, t in items)):
+            raise RuntimeError("the window index is larger than its bound")
+        shared = spark.sparkContext.broadcast(index)
 
         def make(shared=shared):
             def scan(texts):
@@ -135,7 +161,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 8,
     def merged(spans: pd.Series) -> pd.Series:
         return pd.Series([union([(s["start"], s["end"]) for s in x]) for x in spans])
 
-    return made.select(*keep, F.struct(F.col(own[0])["n_words"].alias("n_words"), merged(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items")).alias(out))
+    return made.select(*map(col, keep), F.struct(F.col(own[0])["n_words"].alias("n_words"), merged(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items")).alias(out))
 
 
 def union(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -187,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, rem
     if remove != "spans":
         raise ValueError(remove)
 
-    return marked.withColumn(text, without(F.col(text), F.col(f"{found}.spans"), bad)).drop(found)
+    return marked.withColumn(text, without(F.col(f"`{text}`"), F.col(f"{found}.spans"), bad)).drop(found)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     """Rows (text as bytes, label, *also) for training, the same at each call.
 
     Of the label rows that ``learn`` allows, the ``per_class`` of each class (0 and 1) with the
-    smallest hash of doc_id; of their texts, those of ``max_bytes`` at most. So at most
+    smallest hash of doc_id; of their texts, those of ``max_bytes`` at most (a bound of what is learned from; every text is scored whole). So at most
     2 * per_class ids are broadcast, and at most that many texts come to the driver
     (more only where documents repeat a doc_id; the count is held to 4 * per_class).
     """
@@ -24,5 +24,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, r.label, r.order) for r in ids], "_id long, label int, _order long")
     body = text_bytes("text").alias("text")
     rows = docs.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select(body, "label", "_order", *also).filter(F.length("text") <= max_bytes)
-    found = rows.limit(4 * per_class).collect()
-    return sorted(found, key=lambda r: (r["_order"], r["label"], bytes(r["text"])))
+    return rows.orderBy("_order", "label", "text").limit(4 * per_class).collect()

@@ -10,7 +10,8 @@ Texts are stored as 8-bit mono samples in a WAVE container.
 
 Defined cases: null or empty text is one block of 64 zero samples; null media has
 no type and nothing carved; bytes of no known format keep their declared type with
-valid = false; equal bytes give equal results; repeated rows are treated one by one.
+valid = false; equal bytes give equal results; repeated rows are treated one by one; an empty table gives an empty result; a very long text is one
+object of as many samples; columns outside ``keep`` aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ linear, the trained model folds into one number per feature, which is all that i
 
 Defined cases: null or empty text has no features and scores by the bias alone;
 equal texts score alike; without labels of both classes the score is 0.5
-everywhere; repeated rows are scored one by one.
+everywhere; repeated rows are scored one by one; an empty table gives an empty result; a very long text is scored whole (one of over
+``max_bytes`` isn't learned from); other columns stay out of it, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ start. That sum is a window over exploded matches, linear in their number.
 
 Defined cases: null text is the empty blob; equal texts share a blob and get the
 same findings; every row of the input, repeated or with a null key, is
-returned once; an empty table gives an empty result; only ``keep`` columns are carried along.
+returned once; an empty table gives an empty result; only ``keep`` columns are carried along, whatever their names; a very long text is one
+blob, scanned whole: its matches, not its characters, become rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fresh, shared_dir, table
+from kinmap.llm.common import fresh, shared_dir, spread, table
 
 #: Letters of the assignment rule's keyword count in either case; spelled out, so that no engine folds beyond ASCII.
 WORDS = "|".join("".join(c if c in "_?" else f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -116,17 +117,20 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = BASE +
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "spans") -> DataFrame:
-    """Every row's ``keep`` columns and, as ``out``, its spans by these rules: sorted by start, then rule."""
+    """Every row's ``keep`` columns and, as ``out``, its spans by these rules: sorted by start, then rule. A blob that the ledger
+    has nothing of has none. Only blobs with spans meet the rows, and the rows of a blob with many meet it in shares."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     live = F.filter("spans", lambda s: F.array_contains(F.transform("rules", lambda r: F.split(r, "@")[0]), s["kind"]))
     current = ledger.withColumn("rules", F.filter("rules", lambda r: F.map_contains_key(order, r))).select("blob", live.alias("spans"))
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     one = F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], F.element_at(kinds, s["kind"]).alias("rule_no"), s["kind"], s["end"]))
-    by_blob = current.groupBy("blob").agg(F.sort_array(one).alias("_spans"))
+    by_blob = current.groupBy("blob").agg(F.sort_array(one).alias("_spans")).filter(F.size("_spans") > 0)
     blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
-    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(F.col(f"`{text}`")).alias(blob))
+    share = fresh(docs, "_share")
+    paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_id(F.col(f"`{text}`")).alias(blob), F.xxhash64(*[F.col(f"`{c}`") for c in keep]).alias(share))
     by_blob = by_blob.select(F.col("blob").alias(blob), F.col("_spans").alias(spans))
-    return paths.join(by_blob, blob, "left").select(*[F.col(f"`{c}`") for c in keep], F.col(spans).alias(out))
+    none = F.array().cast(by_blob.schema[spans].dataType)
+    return spread(paths, by_blob, blob, share, "left").select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(spans), none).alias(out))
 
 
 def joined(spans: Column) -> Column:

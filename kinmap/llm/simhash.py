@@ -19,7 +19,9 @@ chunks, and each pair of chunks is searched in a task of its own: no pair is ski
 
 Defined cases: a text without words has fingerprint 0; a text of fewer words than a
 shingle is one shingle; equal texts share a fingerprint; null text counts as empty;
-a null doc_id never names a group that has another id; an empty table gives an empty result.
+a null doc_id never names a group that has another id; an empty table gives an empty result. All words of a very long text count; its
+hashes are made 65536 shingles at a time. Other columns aren't read (``near_duplicates``) or stay as they are, whatever their
+names (``drop_near_duplicates``); repeated rows are one group.
 """
 
 from __future__ import annotations
@@ -32,10 +34,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinmap.llm.common import fresh, materialize, per_text, table
+from kinmap.llm.common import fresh, materialize, per_text, spread, table
 from kinmap.llm.components import components
 
 SEED = 42
@@ -95,7 +96,8 @@ def linked(nodes: np.ndarray, prints: np.ndarray, distance: int) -> np.ndarray:
 
 def cells(keyed: DataFrame, cell: int) -> DataFrame:
     """(node, k) rows -> (k, i, j, node): buckets of two nodes and more; each pair of a large bucket's chunks is a cell."""
-    shared = keyed.withColumn("n", F.count("*").over(W.partitionBy("k"))).filter("n > 1")
+    counts = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = spread(keyed, counts, "k", "node")
     cut = shared.withColumn("chunks", F.ceil(F.col("n") / F.lit(cell)).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node", "k"), F.col("chunks")).cast("int"))
     every = cut.select("k", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "own")
@@ -155,15 +157,15 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "finger
     distinct = prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("least"))
     roots = components(links(distinct.select("fp"), distance, extra))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    return rooted.join(named, F.col("root") == F.col("r")).select("fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return spread(rooted, named, "root", "fp").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links."""
     prints = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], shingle))
-    found = groups(prints, distance=distance)
-    return prints.join(found, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
+    found = groups(prints, distance=distance).withColumnRenamed("fp", "fingerprint")
+    return spread(prints, found, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
 
 
 #: Bands of MinHash values, values in a band, and 64-bit words of a fingerprint.
@@ -240,7 +242,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     nodes = materialize(nodes)
     found = cells(nodes.select("node", F.explode("keys").alias("k")), cell)
     roots = components(search(found.join(nodes.select("node", "print"), "node").select("k", "i", "j", "node", "print"), bits_at(similarity), WORDS))
-    rooted = lite.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = spread(lite, roots, "node", "row", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
     stay = rooted.groupBy("root").agg(F.min_by("row", order).alias(row)).select(row)
     return marked.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

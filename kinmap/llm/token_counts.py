@@ -7,7 +7,8 @@ boundary there, and the pre-tokenizer always cuts there (a blank between ASCII
 letters or digits), so nothing before it can change what follows. An overlap without such a place is doubled, up to the whole text.
 
 Defined cases: null or empty text has 0 bytes and 0 tokens; repeated rows are
-counted one by one; an empty table gives an empty result; only ``keep`` columns
+counted one by one; an empty table gives an empty result; special strings have no blanks, so that no cut falls into one (with a tokenizer
+that has such strings, texts are encoded whole); only ``keep`` columns
 are carried along, so other columns cannot clash.
 """
 
@@ -26,6 +27,8 @@ SPACE = " \t\n\r\x0b\x0c"
 
 def spliced(tokenizer, text: str, chunk: int, overlap: int) -> tuple[int, int]:
     """Number of tokens of ``text``, and how often an overlap had to be widened."""
+    if any(" " in t.content for t in tokenizer.get_added_tokens_decoder().values()):  # a cut could fall into such a string
+        return len(tokenizer.encode(text, add_special_tokens=False).ids), 0
     n, total, widened = len(text), 0, 0
     begin, spliced_at, end = 0, 0, min(len(text), chunk + overlap)
     left = places(tokenizer, text, begin, end)

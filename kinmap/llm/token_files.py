@@ -21,7 +21,7 @@ with, so the bytes on disk are the flat ids and nothing else.
 
 Defined cases: null or empty text has the end id alone; rows that share a
 doc_id are all kept, ordered by the text's hash; a null doc_id comes first; an empty
-table gives an empty result.
+table gives an empty result; other columns aren't read, whatever their names; a very long text is encoded whole and lies in one part.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +49,12 @@ def layout(end_id: int, n_ids: int) -> tuple[int, int]:
     return width, end_id >> 8 * (width - 1)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text: str = "text") -> None:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text: str = "text", part_bytes: int = 128 << 20) -> None:
     """Encode every whole text, append ``end_id``, and write parts and manifest to ``path``.
 
     The texts cross the network once, range-partitioned by (id, hash of the text), so that one
-    id with very many rows is spread too. A task holds one block of texts and 17 bytes a document.
+    id with very many rows is spread too. A task holds one block of texts and 17 bytes a document. There are as many parts as
+    keep their texts at about ``part_bytes``, at any size of the corpus; small ones have a few for each core.
     """
     from kinmap.llm.pieces import load
 
@@ -82,7 +85,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, i
     small_batches(spark)
     tie = F.xxhash64("_text")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_bytes(F.col(f"`{text}`")).alias("_text"))
-    rows = rows.repartitionByRange("_id", tie).sortWithinPartitions("_id", tie)
+    size = rows.agg(F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // part_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-size // (part_bytes // 16))))
+    rows = rows.repartitionByRange(n, "_id", tie).sortWithinPartitions("_id", tie)
     rows.mapInArrow(encode, "row binary").select(F.col("row").cast("string").alias("value")).write.option("lineSep", chr(last)).text(f"{path}/ids")
     manifest(spark, path).write.parquet(f"{path}/manifest")
 
@@ -91,11 +96,35 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/ids").select(F.element_at(F.split("path", "/"), -1).alias("part"), "content")
 
 
+def tails(spark: SparkSession, path: str) -> list[tuple[str, bytes]]:
+    """The parts' names, in order, and their last bytes: nothing else of them is read. The empty file that an empty table leaves is no part."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/ids")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def tail(status) -> tuple[str, bytes]:
+        stream = fs.open(status.getPath())
+        try:
+            stream.seek(status.getLen() - TAIL)
+            return status.getPath().getName(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, TAIL))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(pool.map(tail, [s for s in fs.listStatus(where) if s.getPath().getName().startswith("part-") and s.getLen()]))
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The folder as the machines' own file system has it, if that is where it lies; else None."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return at.getPath() if at.getScheme() == "file" else None
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Bases of the parts: prefix sums of their tails. One short row for each part file comes to the driver."""
-    tails = parts(spark, path).select("part", F.substring("content", -TAIL, TAIL).alias("tail")).collect()
     rows, docs, tokens = [], 0, 0
-    for part, tail in sorted((r.part, bytes(r.tail)) for r in tails):
+    for part, tail in tails(spark, path):
         if tail[17:23] != MAGIC:
             raise ValueError(f"not a token part: {part}")
         n, total = np.frombuffer(tail, "<i8", 2).tolist()
@@ -104,8 +133,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "part string, first_doc long, first_token long").coalesce(1)
 
 
-def unpack(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets (one more than documents), doc_ids and known of a part."""
+def unpack(content) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, offsets (one more than documents), doc_ids and known of a part (any buffer of bytes): views, not copies."""
+    content = np.frombuffer(content, "u1")
     n, total = np.frombuffer(content, "<i8", 2, len(content) - TAIL).tolist()
     width = int(content[-8])
     at = total * width + (-total * width % 8)
@@ -119,14 +149,19 @@ def map_part(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """One row per document: doc_id, position, start, n_tokens, ids_crc32 and, if asked, ids (array of int)."""
+    """One row per document: doc_id, position, start, n_tokens, ids_crc32 and, if asked, ids (array of int).
+
+    Parts in a shared file system are memory-mapped, one task each; from other stores Spark reads them."""
     schema = "doc_id long, position long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
+    local = local_path(spark, path)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, offsets, doc_ids, known = unpack(b.column(0)[i].as_py())
+                part = b.column(0)[i]
+                ids, offsets, doc_ids, known = map_part(f"{local}/ids/{part.as_py()}") if local else unpack(part.as_buffer())
                 first_doc, first_token = b.column(1)[i].as_py(), b.column(2)[i].as_py()
                 for lo in range(0, len(doc_ids), 5_000):
                     o = offsets[lo : lo + 5_001]
@@ -139,6 +174,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     yield pa.record_batch(cols, names)
 
     base = spark.read.parquet(f"{path}/manifest")
+    if local:
+        return base.repartition(max(1, base.count())).select("part", "first_doc", "first_token").mapInArrow(decode, schema)
     return parts(spark, path).join(F.broadcast(base), "part").select("content", "first_doc", "first_token").mapInArrow(decode, schema)
 
 

@@ -10,7 +10,8 @@ without enough of both classes uses the threshold of all.
 
 Defined cases: null or empty text has no words and scores by the bias alone; equal
 texts score alike; without labels of both classes every score is 0; a null or unseen
-language uses the common threshold; repeated rows are scored one by one.
+language uses the common threshold; repeated rows are scored one by one; an empty table gives an empty result; a very long text is
+scored whole, in parts of whole blocks (one of over ``max_bytes`` isn't learned from); other columns stay out of it, whatever their names.
 """
 
 from __future__ import annotations
@@ -293,7 +294,7 @@ def drop_toxic(docs: DataFrame, model: Model, labels: DataFrame, text: str = "te
     if model.trained:
         by = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
         model.thresholds |= thresholds(scored.select(F.col(f"`{doc_id}`").alias("doc_id"), by.alias("lang"), F.col(name).alias("score")), labels)
-    at = threshold(model, F.col(lang)) if lang in docs.columns else F.lit(model.thresholds[None])
+    at = threshold(model, F.col(f"`{lang}`")) if lang in docs.columns else F.lit(model.thresholds[None])
     return scored.filter(F.col(name) < at).drop(name)
 
 

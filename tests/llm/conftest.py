@@ -28,7 +28,7 @@ def write(folder, docs, benchmark=(), labels=(), extra=None):
     return str(folder)
 
 
-EXTRA = ["fingerprint", "spans", "found", "samples", "score", "n_words", "_node", "held_out", "blob", "media"]
+EXTRA = ["fingerprint", "spans", "found", "samples", "score", "n_words", "_node", "held_out", "blob", "media", "with.dot", "_salt"]
 
 
 @pytest.fixture(scope="session")
@@ -46,7 +46,9 @@ def messy(tmp_path_factory):
     ]
     docs += [(100 + i, passage(rng, rng.randint(5, 120))) for i in range(40)]
     docs += [(200 + i, docs[20 + i][1]) for i in range(10)]
-    benchmark = [(1, item), (2, passage(rng, 25)), (3, None), (4, ""), (5, "river stone"), (6, item)]
+    own = random.Random(6)
+    docs += [(30, passage(own, 12000)), (31, "z" * 70000), (32, "x " + "ab1" * 30000 + " y")]  # over 64 KB
+    benchmark = [(None, passage(own, 20)), (1, item), (2, passage(rng, 25)), (3, None), (4, ""), (5, "river stone"), (6, item)]
     labels = [(100 + i, int(i % 3 > 0), i % 2) for i in range(40)] + [(None, 1, 1), (101, None, None)]
     folder = tmp_path_factory.mktemp("messy")
     return write(folder, docs, benchmark, labels, EXTRA), docs, benchmark

@@ -4,6 +4,7 @@ import gzip
 import io
 import math
 import random
+import time
 import zlib
 import zipfile
 from collections import Counter
@@ -239,6 +240,83 @@ def test_segmentations_give_the_text_back():
             assert {p.decode(lattices.id[x.edges].tolist()) for x in paths} == {t}
 
 
+def test_long_words_cost_in_proportion():
+    """A word of a million characters: the totals behind are not scaled all over again, and its samples give it back."""
+    p = segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    seconds = []
+    for n in (50_000, 200_000):
+        word = "".join(rng.choice("abcdefghij\u4e00") for _ in range(n))
+        lattices, began = segmentation.Lattices(p, most_edges=100_000), time.process_time()
+        for _ in range(2):
+            ((paths, threshold),) = segmentation.sample(lattices, [word], [n], 2)
+        seconds.append(time.process_time() - began)
+        assert len(paths) == 2 and threshold < paths[1].value < paths[0].value
+        assert all(p.decode(lattices.id[x.edges].tolist()) == word for x in paths)
+    assert seconds[1] < 12 * max(seconds[0], 0.2)
+
+
+def test_sets_beyond_the_first_are_searched():
+    """Where the first pieces are nearly certain, the best set lies far behind; values of all sets agree."""
+    p = segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    lattices = segmentation.Lattices(p)
+    ((paths, _),) = segmentation.sample(lattices, ["the river " * 400], [3], 1)
+    own = paths[0]
+    whole = segmentation.Path(own.edges, own.words, own.places, own.value)
+    with np.errstate(over="ignore"):
+        seeds = np.array([3], np.uint64) ^ (np.uint64(2) * np.uint64(0xD6E8FEB86659FD93))
+    segmentation.open_paths(lattices, [whole], seeds, some=len(own.edges))
+    few = segmentation.Path(own.edges, own.words, own.places, own.value)
+    segmentation.open_paths(lattices, [few], seeds, some=2)
+    assert len(whole.sets) == len(own.edges) and len(few.sets) < len(own.edges)
+    assert few.best == pytest.approx(whole.best) and few.cut == whole.cut
+
+
+def test_repeated_labels_keep_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    from kinmap.llm.labelled import sample
+
+    docs = spark.createDataFrame([(1, f"text {i % 13}") for i in range(60)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    found = [[bytes(r["text"]) for r in sample(docs.repartition(k), labels, "toxic", F.lit(True), 3, 1000)] for k in (1, 4, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 12
+
+
+def test_window_index_is_bounded():
+    rng = random.Random(3)
+    items = [(str(i), " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))).encode()) for i in range(2000)]
+    index = decontaminate.Windows(items, 8)
+    assert index.nbytes() < decontaminate.MOST * sum(len(t) for _, t in items) / 3
+    assert index.scan(b"Clean " + items[7][1] + b" End")[2] == ["7"]
+
+
+def test_toxicity_stage(spark, messy):
+    import corpus_pipeline
+
+    folder, docs, _ = messy
+    got = corpus_pipeline.toxicity(spark, table(spark, folder, "documents"), folder)
+    assert got.columns == table(spark, folder, "documents").columns
+    assert {r.doc_id for r in got.collect()} <= {d[0] for d in docs}
+
+
+def test_hot_groups_in_every_join(spark):
+    """Half of the rows are one text, and their group is one component with many near fingerprints."""
+    rng = random.Random(1)
+    base = passage(rng, 200).split()
+    rows = [(i, " ".join(base)) for i in range(400)]
+    for i in range(400, 440):
+        other = list(base)
+        other[rng.randrange(200)] = "changed"
+        rows.append((i, " ".join(other)))
+    rows += [(1000 + i, passage(rng, 60)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert len(got) == len(rows) and all(got[i] == 0 for i in range(400)) and all(got[1000 + i] >= 1000 for i in range(100))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == {0} | {1000 + i for i in range(100)}
+
+
 def test_convolution_gradients_and_long_texts():
     rng = random.Random(8)
     good = [passage(rng, 40) for _ in range(60)]

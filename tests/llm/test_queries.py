@@ -78,6 +78,8 @@ def contaminated(text, benchmark):
     fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     w, hit, items = fold(text), set(), set()
     for item, t in benchmark:
+        if item is None:
+            continue
         b = fold(t)
         n = min(8, len(b))
         for window in {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else ():
@@ -164,6 +166,109 @@ def test_classifier_held_out(spark, name, least):
     assert wins / (len(good) * len(bad)) > least
 
 
+def test_op5_rescored(spark, messy):
+    """The query's scores, from its fitted weights by a plain count of features."""
+    from pyspark.sql import functions as F
+
+    from kinmap.llm import quality
+    from kinmap.llm.common import fold, table
+
+    folder, docs, _ = messy
+    values, bias = quality.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality", fold(F.col("doc_id"), 3) != 1)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in rows(spark, "op5_quality", folder))
+    want = Counter()
+    for d in docs:
+        w = (d[1] or "").encode().split()
+        found = Counter({0: 4 * sum(a == b for a, b in zip(w, w[1:]))})
+        for x, n in Counter(w).items():
+            marked = b"<" + x + b">"
+            for f in [zlib.crc32(x, 7)] + [zlib.crc32(marked[i : i + k], k) for k in (2, 3) for i in range(len(marked) - k + 1)]:
+                found[1 + f % (quality.BUCKETS - 1)] += n
+        z = bias + sum(float(values[f]) * n for f, n in found.items()) / max(1, found.total())
+        want[d[0], round(1 / (1 + math.exp(-z)), 5)] += 1
+    assert sum((got - want).values()) <= 1  # one may round apart
+
+
+def test_op6_rescored(spark, messy):
+    """The query's scores, from its fitted weights word by word and filter by filter."""
+    from pyspark.sql import functions as F
+
+    from kinmap.llm import toxicity
+    from kinmap.llm.common import fold, table
+
+    folder, docs, _ = messy
+    m = toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", fold(F.col("doc_id"), 4) != 2)
+    score = {(r.doc_id, r.score) for r in rows(spark, "op6_toxicity", folder)}
+    for d in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(d[1]))
+        if len(w) > 5000:
+            continue
+        vec = [sum(m.vectors[f] for f in toxicity.features(x.encode())) for x in w]
+        high, often = [], []
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                act = []
+                for i in range(len(w)):
+                    z = 0.0
+                    for j in range(width):
+                        if i + j < len(w):
+                            column = toxicity.SLOTS.index((width, j)) * toxicity.FILTERS + f
+                            z += float(vec[i + j] @ m.filters[:, column])
+                    act.append(z)
+                k = toxicity.WIDTHS.index(width) * toxicity.FILTERS + f
+                blocks = [max(act[a : a + toxicity.SPAN]) + m.shift[k] for a in range(0, len(act), toxicity.SPAN)]
+                high.append(max(0.0, *blocks) if len(blocks) else 0.0)
+                often.append(sum(max(0.0, b) for b in blocks) / len(blocks) if blocks else 0.0)
+        z = float(m.bias[0]) + (sum(float(a) * b for a, b in zip(m.out, high + often)) if w else 0.0)
+        assert any(i == d[0] and abs(s - 1 / (1 + math.exp(-z))) < 1e-4 for i, s in score), d[0]
+
+
+def test_op7_enumerated(spark, tmp_path):
+    """Short texts through the query: all segmentations are enumerated, and the perturbed best of them, by their own noise, are
+    distributed as the query's; a text with fewer than three gives all of them."""
+    import sentencepiece
+    from tests.llm.conftest import write
+
+    from kinmap.llm import segmentation
+
+    p = segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    n, text, few = 3000, "an of", "a"
+    folder = write(tmp_path, [(i, text) for i in range(n)] + [(n, few), (n + 1, "")])
+
+    def every(word):
+        if not word:
+            yield (), 1.0
+        for j in range(1, len(word) + 1):
+            if (e := p.edges.get(word[:j])) is not None:
+                for rest, x in every(word[j:]):
+                    yield (e[0], *rest), e[1] * x
+
+    def distribution(t):
+        found = {(): 1.0}
+        for word in p.words(t):
+            found = {a + b: x * y for a, x in found.items() for b, y in every(word)}
+        total = sum(found.values())
+        return {zlib.crc32(np.array(k, "<u4").tobytes()): v / total for k, v in found.items()}
+
+    got = rows(spark, "op7_segmentation", folder)
+    true, first = distribution(text), Counter()
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for i in range(n):
+        own = sorted(by_doc[i], key=lambda r: r.sample)
+        assert len({r.ids_crc32 for r in own}) == min(3, len(true))
+        for r in own:
+            assert r.log_prob == pytest.approx(math.log(true[r.ids_crc32]), abs=1e-5)
+        first[own[0].ids_crc32] += 1
+    for k, v in true.items():
+        assert first[k] / n == pytest.approx(v, abs=4 * math.sqrt(v * (1 - v) / n) + 1e-3)
+    assert {r.ids_crc32 for r in by_doc[n]} <= set(distribution(few)) and len(by_doc[n]) == min(3, len(distribution(few)))
+    assert [r.n_pieces for r in by_doc[n + 1]] == [0]
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert zlib.crc32(np.array(model.encode(text), "<u4").tobytes()) in true
+
+
 def test_op7(spark, messy):
     folder, docs, _ = messy
     got = rows(spark, "op7_segmentation", folder)
