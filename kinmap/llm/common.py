@@ -98,7 +98,9 @@ def remembered(key, build: Callable[[], object]) -> object:
     """What ``build`` made last under this key in this Python worker, so that later tasks find memos filled.
     One thing at a time: another key frees it."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            trim()
         _KEPT[key] = build()
     return _KEPT[key]
 
@@ -109,6 +111,11 @@ def give_back(most: int = 500 << 20) -> None:
     with contextlib.suppress(OSError, ValueError), open("/proc/self/statm") as f:
         if int(f.read().split()[1]) * resource.getpagesize() > most:
             _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Return free memory to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
