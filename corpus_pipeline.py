@@ -18,6 +18,8 @@ from kinmap.llm.toxicity import drop_toxic, fit
 
 #: Segmentations that the last stage draws for each document.
 SEGMENTATIONS = 2
+#: Words whose lattices one of its workers remembers, and bytes of text that it works on at once: little, beside what earlier stages left in executors.
+LATTICES, BLOCK = 80_000, 1 << 17
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     text have equal samples."""
     import public_tokenizers
 
-    found = sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=SEGMENTATIONS)
+    found = sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=SEGMENTATIONS, block=BLOCK, words=LATTICES)
     return found.select("doc_id", F.inline("samples"))
 
 
