@@ -200,25 +200,42 @@ def reflected_attention(edge_rel: DataFrame, entities: DataFrame, relations: Dat
     return concatenated(layers)
 
 
-def chebyshev(adj: DataFrame, ids: DataFrame, k: int, rounds: int = 30) -> list[DataFrame]:
-    """T_0 to T_k of the scaled Laplacian 2 / L (I - normalized(A)) - I, where L is its largest eigenvalue (power iteration)."""
+def scaled_laplacian(adj: DataFrame, ids: DataFrame, rounds: int = 30, largest: float | None = None) -> DataFrame:
+    """2 / L (I - normalized(A)) - I, its diagonal always stored. L is the Laplacian's largest eigenvalue: ``largest`` where that is
+    known (2 if every edge joins two sides of the graph), else the outcome of so many rounds of power iteration."""
     one = sparse.from_pairs(ids.select(F.col("id").alias("src"), F.col("id").alias("trg")))
     lap = store(sparse.fuse([one, normalized(adj)], [1.0, -1.0]))
+    value = largest or 1.0
     x = ids.select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0 + 0.5).alias("x"))
-    value = 1.0
-    for i in range(rounds):
+    for i in range(rounds if largest is None else 0):
         y = lap.join(x.withColumnRenamed("id", "trg"), "trg").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("score") * F.col("x")).alias("x"))
         value = math.sqrt(y.agg(F.sum(F.col("x") * F.col("x"))).first()[0] or 1.0)
         x = y.select("id", (F.col("x") / value).alias("x"))
         if i % 5 == 4:
             x = store(x)
-    scaled = store(sparse.fuse([lap, one], [2.0 / value, -1.0]))
-    out = [one, scaled]
+    return store(sparse.fuse([lap, one], [2.0 / value, -1.0]))
+
+
+def chebyshev(adj: DataFrame, ids: DataFrame, k: int, rounds: int = 30, largest: float | None = None) -> list[DataFrame]:
+    """T_0 to T_k of the scaled Laplacian, as cells. T_k has a cell for each pair of entities within k steps."""
+    scaled = scaled_laplacian(adj, ids, rounds, largest)
+    out = [sparse.from_pairs(ids.select(F.col("id").alias("src"), F.col("id").alias("trg"))), scaled]
     for _ in range(2, k + 1):
         out.append(store(sparse.fuse([sparse.product(scaled, out[-1]), out[-2]], [2.0, -1.0])))
     return out[: k + 1]
 
 
+def chebyshev_features(adj: DataFrame, ids: DataFrame, vectors: DataFrame, k: int, rounds: int = 30, largest: float | None = None) -> list[DataFrame]:
+    """T_0 to T_k of the scaled Laplacian, each times the vectors (id, vec) of all ids. The recursion runs on the vectors, so no step has
+    more cells than the graph has edges and entities."""
+    scaled = scaled_laplacian(adj, ids, rounds, largest)
+    out = [vectors, store(sparse.product_with_dense(scaled, vectors))]
+    for _ in range(2, k + 1):
+        y = sparse.product_with_dense(scaled, out[-1]).withColumnRenamed("vec", "_y")
+        out.append(store(y.join(out[-2], "id").select("id", F.zip_with("_y", "vec", lambda a, b: 2 * a - b).alias("vec"))))
+    return out[: k + 1]
+
+
 # Partitions.
 
 

@@ -273,12 +273,25 @@ def reflected_attention(spark, d):
     return out.select("id", *[F.round(F.col("vec")[3 + i], 6).alias(f"c{i}") for i in range(1, 5)])
 
 
-@query()
+_CHEBYSHEV = _VEC + """, u AS (SELECT DISTINCT h AS src, t AS trg FROM (SELECT h, t FROM g1 UNION ALL SELECT t, h FROM g1)), dg AS (SELECT src AS n, count(*) AS x FROM u GROUP BY 1),
+a AS MATERIALIZED (SELECT u.src, u.trg, 1 / sqrt(p.x) / sqrt(q.x) AS s FROM u JOIN dg p ON p.n = u.src JOIN dg q ON q.n = u.trg),
+y0 AS (SELECT id, vec[1] AS c1, vec[2] AS c2, vec[3] AS c3, vec[4] AS c4 FROM x)"""
+for _i in (1, 2, 3):
+    _sums = ", ".join(f"{-1 if _i == 1 else -2} * sum(s * c{j}) AS c{j}" for j in range(1, 5))
+    _step = f"SELECT src AS id, {_sums} FROM a JOIN y{_i - 1} ON id = trg GROUP BY 1"
+    if _i > 1:
+        _step = "SELECT n.id, " + ", ".join(f"n.c{j} - o.c{j} AS c{j}" for j in range(1, 5)) + f" FROM ({_step}) n JOIN y{_i - 2} o ON o.id = n.id"
+    _CHEBYSHEV += f", y{_i} AS MATERIALIZED ({_step})"
+
+
+@query(sql(_CHEBYSHEV + " SELECT id, " + ", ".join(f"round(c{j}, 6) AS c{j}" for j in range(1, 5)) + " FROM y3", "g1", "e1"))
 def chebyshev(spark, d):
-    t = graph(spark, d).filter("r = 5")
+    """The third polynomial times the vectors of all entities. Parts and nations are one side of the graph, the others the other side."""
+    t = graph(spark, d)
     ids = entities(t)
     edges = t.select(F.col("h").alias("src"), F.col("t").alias("trg")).union(t.select("t", "h")).distinct()
-    return rounded(G.chebyshev(sparse.from_pairs(edges), ids, 3)[3])
+    out = G.chebyshev_features(sparse.from_pairs(edges), ids, _vec(ids), 3, largest=2.0)[3]
+    return out.select("id", *[F.round(F.col("vec")[i - 1], 6).alias(f"c{i}") for i in range(1, 5)])
 
 
 @query()

@@ -234,3 +234,31 @@ def test_alignment_finds_links(spark):
     got = {r.channel: r for r in alignment(spark, "/root/testdata/sf0.001", parts=2, epochs=5, dim=8, model="gcn-align").scores().collect()}
     assert set(got) == {"name", "structure", "all"}
     assert got["name"].hits_1 > 0.8 and got["all"].hits_1 > 0.8
+
+
+def test_chebyshev_polynomials(spark):
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3), (5, 0)]
+    n, k = 6, 3
+    a = np.zeros((n, n))
+    for u, v in edges:
+        a[u, v] = a[v, u] = 1
+    w = 1 / np.sqrt(a.sum(axis=1))
+    lap = np.eye(n) - w[:, None] * a * w
+    largest = np.linalg.eigvalsh(lap).max()
+    step = 2 / largest * lap - np.eye(n)
+    want = [np.eye(n), step]
+    for _ in range(2, k + 1):
+        want.append(2 * step @ want[-1] - want[-2])
+    adj = table(spark, [(u, v, 1.0) for u, v in edges] + [(v, u, 1.0) for u, v in edges])
+    ids = spark.range(n)
+    for got, exact in zip(graph.chebyshev(adj, ids, k, largest=float(largest)), want, strict=True):
+        dense = np.zeros((n, n))
+        for (i, j), x in cells(got).items():
+            dense[i, j] = x
+        assert dense == pytest.approx(exact, abs=1e-9)
+    x = np.random.default_rng(0).random((n, 3))
+    vectors = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id long, vec array<double>")
+    for got, exact in zip(graph.chebyshev_features(adj, ids, vectors, k, largest=float(largest)), want, strict=True):
+        assert np.array([r.vec for r in got.orderBy("id").collect()]) == pytest.approx(exact @ x, abs=1e-9)
+    found = cells(graph.scaled_laplacian(adj, ids, rounds=60))
+    assert found[0, 0] == pytest.approx(step[0, 0], abs=1e-2)
