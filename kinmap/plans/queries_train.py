@@ -43,6 +43,16 @@ def rrea_train(spark, d):
     return _trained(spark, d, "rrea", epochs=5, dim=16, rounds=2)
 
 
+@query
+def mtranse_train(spark, d):
+    return _trained(spark, d, "mtranse", epochs=10, dim=16)
+
+
+@query
+def rotate_train(spark, d):
+    return _trained(spark, d, "rotate", epochs=5, dim=16, negatives=2)
+
+
 def alignment(spark, d, **options) -> EntityAlignment:
     t1, t2 = graph(spark, d, 1), graph(spark, d, 2)
     # names of both sides differ in their prefix and in a letter of every seventh

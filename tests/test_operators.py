@@ -236,6 +236,38 @@ def test_alignment_finds_links(spark):
     assert got["name"].hits_1 > 0.8 and got["all"].hits_1 > 0.8
 
 
+def test_translation_gradient_and_links():
+    t, pairs = small_graph(np.random.default_rng(0)), np.array([[0, 6], [1, 7], [2, 8]])
+    m = train.TranslationModel(t, 12, 6, dim=5)
+    m.m += np.random.default_rng(1).normal(0, 0.1, m.m.shape)
+    for w, g in zip((m.e, m.r, m.m), m.loss(pairs)[1], strict=True):
+        gradient(lambda: m.loss(pairs)[0], w, g, np.random.default_rng(2))
+    before = m.loss(pairs)[0]
+    y = m.fit(pairs, 200)
+    assert m.loss(pairs)[0] < 0.5 * before
+    near = np.linalg.norm(y[:6, None] - y[None, 6:], axis=2).argmin(axis=1)
+    assert near[:3].tolist() == [0, 1, 2]
+
+
+def test_rotation_gradient_and_shared_vectors():
+    t, pairs = small_graph(np.random.default_rng(0)), np.array([[0, 6], [1, 7], [2, 8]])
+    m = train.RotationModel(t, 12, dim=8, negatives=3)
+    bad = m.wrong(t)
+    assert ((bad != np.repeat(t, 3, axis=0)).sum(axis=1) <= 1).all() and (bad[:, 1] == np.repeat(t, 3, axis=0)[:, 1]).all()
+    for w, g in zip((m.e, m.phase), m.loss(t, bad)[1], strict=True):
+        gradient(lambda: m.loss(t, bad)[0], w, g, np.random.default_rng(2))
+    before = m.loss(t, bad)[0]
+    y = m.fit(pairs, 200)
+    assert m.loss(t, bad)[0] < before
+    assert np.array_equal(y[pairs[:, 0]], y[pairs[:, 1]]) and not np.array_equal(y[3], y[9])
+
+
+@pytest.mark.parametrize("model", ["mtranse", "rotate"])
+def test_decoders_train_without_triples_or_links(model):
+    y = train.embed(np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64), (2, 3), model, epochs=2, dim=4)
+    assert y.shape == (5, 4) and np.isfinite(y).all()
+
+
 def test_chebyshev_polynomials(spark):
     edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3), (5, 0)]
     n, k = 6, 3
