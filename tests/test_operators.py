@@ -268,6 +268,15 @@ def test_decoders_train_without_triples_or_links(model):
     assert y.shape == (5, 4) and np.isfinite(y).all()
 
 
+@pytest.mark.parametrize("model", ["mtranse", "rotate"])
+def test_batches_train_with_decoders(spark, model):
+    members = spark.createDataFrame([(0, s, 10 * s + i) for s in (1, 2) for i in range(4)], "batch int, side int, id long")
+    triples = spark.createDataFrame([(0, s, 10 * s + i, 0, 10 * s + (i + 1) % 4) for s in (1, 2) for i in range(4)], "batch int, side int, h long, r long, t long")
+    got = train.train_batches(members, triples, table(spark, [(10, 20, 1.0), (11, 21, 1.0)]), model, epochs=3, dim=4).collect()
+    assert sorted((r.side, r.id) for r in got) == [(s, 10 * s + i) for s in (1, 2) for i in range(4)]
+    assert all(len(r.vec) == 4 for r in got)
+
+
 def test_chebyshev_polynomials(spark):
     edges = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3), (5, 0)]
     n, k = 6, 3
