@@ -81,11 +81,12 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
 
 def spread(rows: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner", salts: int = 8) -> DataFrame:
     """``rows`` joined with ``one`` (one row for each ``key``), a hot key's rows in ``salts`` shares: by the hash of column ``by``, so
-    that a task that runs again deals them out alike. ``one`` crosses the network ``salts`` times."""
+    that a task that runs again deals them out alike. ``one`` crosses the network ``salts`` times. It has as many rows as there are
+    keys, so it is never broadcast, however small its files are: the driver's memory would bound the input."""
     salt = fresh(rows, "_salt")
     a = rows.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{by}`")), F.lit(salts)).cast("int"))
     b = one.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, salt], how).drop(salt)
+    return a.join(b.hint("merge"), [key, salt], how).drop(salt)
 
 
 #: Texts in one Arrow batch between the JVM and Python, which hold a batch in memory twice.

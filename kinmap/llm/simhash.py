@@ -156,7 +156,7 @@ def groups(prints: DataFrame, doc_id: str = "doc_id", fingerprint: str = "finger
     """Rows of (doc_id, fingerprint) -> (fp, component_id): every distinct fingerprint with its group's smallest doc_id."""
     distinct = prints.groupBy(F.col(fingerprint).alias("fp")).agg(F.min(doc_id).alias("least"))
     roots = components(links(distinct.select("fp"), distance, extra))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return spread(rooted, named, "root", "fp").select("fp", "component_id")
 

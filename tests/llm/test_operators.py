@@ -317,6 +317,29 @@ def test_hot_groups_in_every_join(spark):
     assert kept == {0} | {1000 + i for i in range(100)}
 
 
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    """Groups and roots are as many as fingerprints: at 0.6 GB, broadcast as Spark sees fit, they ran out of the driver's memory."""
+    from kinmap.llm import common
+    from kinmap.llm import components as stars
+
+    plans = []
+
+    def written(df, *path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, *path)
+
+    for module in (simhash, stars):
+        monkeypatch.setattr(module, "materialize", written)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) > 1 << 20
+    rng = random.Random(4)
+    near = passage(rng, 200)
+    df = spark.createDataFrame([(i, near if i < 20 else near_copy(near, rng, 1) if i < 30 else passage(rng, 50)) for i in range(60)], "doc_id long, text string")
+    found = simhash.near_duplicates(df)
+    assert found.count() == 60
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in x for x in plans) and not [x for x in plans if "Broadcast" in x]
+
+
 def test_convolution_gradients_and_long_texts():
     rng = random.Random(8)
     good = [passage(rng, 40) for _ in range(60)]
