@@ -565,12 +565,12 @@ def lattices_of(model: str, words: int = 300_000) -> Lattices:
     return remembered(("lattices", model, words), lambda: Lattices(Pieces(model), words, 27 * words))
 
 
-FIELDS = "sample:int,n_pieces:long,log_prob:double,perturbed:double,log_inclusion:double,ids_crc32:long,decoded:boolean"
+FIELDS = "sample:int,n_pieces:long,log_prob:double,perturbed:double,log_inclusion:double,ids_crc32:long,decoded:boolean,ids:array<int>"
 
 
-def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", seed: str = "segmentation", with_ids: bool = True, block: int = 1 << 19, words: int = 300_000) -> DataFrame:
+def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", text: str = "text", seed: str = "segmentation", block: int = 1 << 19, words: int = 300_000) -> DataFrame:
     """``keep`` columns and ``samples``: array of (sample from 0, n_pieces, log_prob, perturbed value,
-    log_inclusion, ids_crc32, decoded (the ids give the text back)[, ids]), largest perturbed value first.
+    log_inclusion, ids_crc32, decoded (the ids give the text back), ids), largest perturbed value first.
 
     No shuffle. A worker holds the lattices of about ``words`` words (some 500 bytes each) and the paths of ``block`` bytes of text, one text at least.
     """
@@ -601,8 +601,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[s
                     back.append(data[at[a] + (b > a) : at[b]] == t)
             fields = {"sample": pa.array(number, pa.int32()), "n_pieces": pa.array(np.diff(ends)), "log_prob": pa.array(logs, pa.float64()), "perturbed": pa.array([p.value for p in every], pa.float64())}
             fields |= {"log_inclusion": pa.array(chance, pa.float64()), "ids_crc32": pa.array(crc, pa.int64()), "decoded": pa.array(back, pa.bool_())}
-            if with_ids:
-                fields["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+            fields["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
             held = np.cumsum([0, *(len(paths) for paths, _ in found)])
             return pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
@@ -617,12 +616,12 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[s
 
         return run
 
-    kind = f"samples array<struct<{FIELDS}{',ids:array<int>' if with_ids else ''}>>"
-    return per_text(keyed, names, kind, make, text, also=named)
+    return per_text(keyed, names, f"samples array<struct<{FIELDS}>>", make, text, also=named)
 
 
 def op7_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and sampled segmentation: doc_id, then FIELDS, the segmentation itself (``ids``) last."""
     import public_tokenizers
 
-    found = sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    found = sampled_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", F.inline("samples"))

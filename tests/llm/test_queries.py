@@ -287,6 +287,23 @@ def test_op7(spark, messy):
     assert len(samples[7]) == len(samples[40]) == 1 and samples[7][0].n_pieces == 0
 
 
+def test_op7_gives_the_segmentations(spark, messy):
+    """Each row has its segmentation: the columns derived from it, and the library's decoder, agree."""
+    import sentencepiece
+
+    folder, docs, _ = messy
+    texts = {}
+    for d in docs:
+        texts.setdefault(d[0], d[1] or "")
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = rows(spark, "op7_segmentation", folder)
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        if texts[r.doc_id].strip(" ") == texts[r.doc_id] and "\0" not in texts[r.doc_id]:
+            assert model.decode(r.ids) == texts[r.doc_id], r.doc_id
+
+
 def test_op8(spark, messy):
     folder, docs, _ = messy
     want = Counter()
