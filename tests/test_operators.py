@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinmap.operators import evaluate, graph, match, more, sparse, train
+from kinmap.operators import evaluate, graph, match, more, sparse, storage, train
 from kinmap.operators.knn import nearest, top_k
 from kinmap.sources import graphs
 from kinmap.streaming import accumulate
@@ -303,3 +303,22 @@ def test_chebyshev_polynomials(spark):
         assert np.array([r.vec for r in got.orderBy("id").collect()]) == pytest.approx(exact @ x, abs=1e-9)
     found = cells(graph.scaled_laplacian(adj, ids, rounds=60))
     assert found[0, 0] == pytest.approx(step[0, 0], abs=1e-2)
+
+
+def test_ranks_over_every_cell_without_a_table_of_cells(spark, monkeypatch):
+    """Equal vectors tie, links without a cell have no rank, and nothing makes the dense matrix."""
+    from kinmap.operators import knn
+
+    rng = np.random.default_rng(3)
+    base = np.round(rng.normal(size=(30, 4)), 1)
+    a = spark.createDataFrame([(2 * i, [float(x) for x in base[i % 12]]) for i in range(40)], "id long, vec array<double>")
+    b = spark.createDataFrame([(2 * i + 1, [float(x) for x in base[i % 17]]) for i in range(50)], "id long, vec array<double>")
+    links = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(40)] + [(0, 7), (2, 999), (998, 1)], "src long, trg long")
+    plain = lambda df: sorted((r.src, r.trg, r["rank"] or 0) for r in df.collect())
+    cells = storage.store(knn.dense(a, b))
+    want = {(hub, by): plain(evaluate.gold_ranks(knn.csls(cells, hub) if hub else cells, links, by=by)) for hub in (None, 3) for by in ("src", "trg")}
+    monkeypatch.setattr(knn, "dense", None)
+    for (hub, by), ranks in want.items():
+        means = evaluate.neighbour_means(a, b, hub) if hub else None
+        got = plain(evaluate.vector_ranks(a, b, links, by=by, means=means, rows=16, most=32))
+        assert got == ranks
