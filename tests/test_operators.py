@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinmap.operators import evaluate, graph, match, more, sparse, storage, train
+from kinmap.operators import evaluate, graph, knn, lsh, match, more, sparse, storage, train
 from kinmap.operators.knn import nearest, top_k
 from kinmap.sources import graphs
 from kinmap.streaming import accumulate
@@ -307,8 +307,6 @@ def test_chebyshev_polynomials(spark):
 
 def test_ranks_over_every_cell_without_a_table_of_cells(spark, monkeypatch):
     """Equal vectors tie, links without a cell have no rank, and nothing makes the dense matrix."""
-    from kinmap.operators import knn
-
     rng = np.random.default_rng(3)
     base = np.round(rng.normal(size=(30, 4)), 1)
     a = spark.createDataFrame([(2 * i, [float(x) for x in base[i % 12]]) for i in range(40)], "id long, vec array<double>")
@@ -322,3 +320,68 @@ def test_ranks_over_every_cell_without_a_table_of_cells(spark, monkeypatch):
         means = evaluate.neighbour_means(a, b, hub) if hub else None
         got = plain(evaluate.vector_ranks(a, b, links, by=by, means=means, rows=16, most=32))
         assert got == ranks
+
+
+def test_cells_of_pairs_alone(spark):
+    rng = np.random.default_rng(5)
+    a = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(9)], "id long, vec array<double>")
+    for metric in ("cosine", "sqeuclidean", "manhattan", "euclidean", "inner"):
+        every = cells(knn.dense(a, a, metric, rows=4))
+        pairs = spark.createDataFrame([(1, 2), (8, 0)], "src long, trg long")
+        assert cells(knn.cells_at(pairs, a, a, metric)) == pytest.approx({p: every[p] for p in ((1, 2), (8, 0))})
+        assert len(every) == 81
+
+
+def test_outer_cells_are_made_where_the_sparse_table_has_some(spark):
+    sim = table(spark, [(1, 5, 2.0), (1, 6, 3.0), (2, 5, 4.0), (9, 5, 1.0)])
+    rows, columns = spark.createDataFrame([(1, 10), (2, 20)], "id long, x long"), spark.createDataFrame([(5, 1), (6, 2), (7, 3)], "id long, x long")
+    dense = rows.crossJoin(columns.toDF("trg", "y")).select(F.col("id").alias("src"), "trg", (F.col("x") + F.col("y")).alias("score"))
+    got = sparse.elementwise_outer(sim, rows, columns, lambda x, y: x + y, lambda a, b: a * b)
+    assert cells(got) == cells(sparse.elementwise(sim, dense, lambda a, b: a * b)) == {(1, 5): 22.0, (1, 6): 36.0, (2, 5): 84.0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Cross" not in plan
+
+
+def test_totals_of_shared_postings(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), f"t{k}") for i in range(60) for k in rng.integers(0, 9, 3)]
+    w = spark.createDataFrame(rows + [(77, None), (78, "alone")], "id long, token string")
+    hubs = spark.createDataFrame([("t1",), ("t2",)], "token string")
+    for h in (None, hubs):
+        pairs = lsh.shared_postings(w.filter("id % 2 = 0"), w.filter("id % 2 = 1"), h).collect()
+        got = lsh.shared_posting_totals(w.filter("id % 2 = 0"), w.filter("id % 2 = 1"), h).first()
+        assert tuple(got) == (len(pairs), sum(r.src for r in pairs), sum(r.trg for r in pairs))
+    none = lsh.shared_posting_totals(w.filter("id < 0"), w, hubs).first()
+    assert tuple(none) == (0, None, None)
+
+
+def test_string_similarity_pairs_names_once(spark, monkeypatch):
+    """Candidates are made of distinct names, whatever the number of ids that have them."""
+    seen, real = [], lsh.candidates
+    monkeypatch.setattr(lsh, "candidates", lambda a, b, *r: (seen.append((a.count(), b.count())), real(a, b, *r))[1])
+    a = spark.createDataFrame([(i, "red_small_box" if i % 3 else "blue_cup") for i in range(30)], "id long, name string")
+    b = spark.createDataFrame([(100 + i, "red_small_box") for i in range(20)], "id long, name string")
+    assert cells(lsh.string_similarity(a, b)) == {(i, 100 + j): 1.0 for i in range(30) if i % 3 for j in range(20)}
+    assert seen == [(2, 1)]
+
+
+def test_line_graph_size_and_edge_parts_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    t = spark.createDataFrame([(int(h), 1, int(x)) for h, x in rng.integers(0, 15, (60, 2))] + [(100, 1, 101)], "h long, r int, t long")
+    pairs = graph.line_graph(t)
+    assert tuple(graph.line_graph_size(t).first()) == tuple(pairs.agg(F.count("*"), F.sum("weight")).first())
+    assert tuple(graph.line_graph_size(t.filter("h = 100")).first()) == (0, None)
+    edges = t.filter("h <> t").select(F.least("h", "t").alias("u"), F.greatest("h", "t").alias("v")).distinct()
+    lines = pairs.select(F.col("e").alias("u"), F.col("f").alias("v"), F.col("weight").cast("double").alias("weight"))
+    want = {r.id: r.part for r in graph.label_parts(lines, edges.select(F.xxhash64("u", "v").alias("id")), 3).collect()}
+    monkeypatch.setattr(graph, "line_graph", None)
+    got = {r.id: r.part for r in graph.edge_parts(t, 3).select(F.xxhash64("u", "v").alias("id"), "part").collect()}
+    assert got == want and len(set(got.values())) == 3
+
+
+def test_streamed_sums_stay_off_the_driver(spark, tmp_path):
+    rows = table(spark, [(0, 1, 0.5), (0, 1, 0.25), (1, 1, 1.0)])
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    accumulate.start_files(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert cells(accumulate.sums(spark, str(tmp_path / "out"))) == {(0, 1): 0.75, (1, 1): 1.0}
