@@ -385,3 +385,17 @@ def test_streamed_sums_stay_off_the_driver(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     accumulate.start_files(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert cells(accumulate.sums(spark, str(tmp_path / "out"))) == {(0, 1): 0.75, (1, 1): 1.0}
+
+
+@pytest.mark.parametrize("name", ["mtranse_train", "rotate_train"])
+def test_decoder_queries_train_with_their_presets(monkeypatch, name):
+    """No fewer epochs, dimensions or negatives than the models have by themselves."""
+    from kinmap.plans import queries_train
+
+    seen = []
+    monkeypatch.setattr(queries_train, "_batches", lambda spark, d: (None, None))
+    monkeypatch.setattr(queries_train, "train_links", lambda spark, d: None)
+    monkeypatch.setattr(train, "train_batches", lambda members, triples, pairs, model, **options: seen.append((model, options)))
+    monkeypatch.setattr(train, "batch_similarity", lambda vectors, k: None)
+    queries_train.QUERIES[name](None, "")
+    assert seen == [(name.split("_")[0], {})]
