@@ -399,3 +399,18 @@ def test_decoder_queries_train_with_their_presets(monkeypatch, name):
     monkeypatch.setattr(train, "batch_similarity", lambda vectors, k: None)
     queries_train.QUERIES[name](None, "")
     assert seen == [(name.split("_")[0], {})]
+
+
+def test_numbering_reads_its_input_once(spark):
+    """The input is stored before quantiles, counts and ranks are taken from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.range(0, 50, 1, 2).mapInPandas(look, "id long")
+    got = graphs.numbered(rows, ["id"], "n").collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, i) for i in range(50)]
+    assert seen.value == 50
