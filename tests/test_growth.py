@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from kinmap.operators import train
+from kinmap.operators import sparse, train
 
 
 def test_vectors_are_trained_once(spark, tmp_path):
@@ -32,3 +32,36 @@ def test_mutual_corrected_in_blocks():
     best, back = train.mutual_corrected(x, y, 10, rows=8)
     assert best.tolist() == m.argmax(axis=1).tolist()
     assert back.tolist() == m.argmax(axis=0).tolist()
+
+
+def test_product_in_blocks_of_rows(spark, monkeypatch):
+    """Single products are not shuffled: no exchange by cells; hubs, several blocks and pruned rows give what numpy gives."""
+    monkeypatch.setattr(sparse, "BLOCK", 500)
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(1, 9, (40, 30)) * (rng.random((40, 30)) < 0.3) for _ in range(2))
+    a[:, 3] = b[:, 3] = 2  # a hub
+    cells = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "src long, trg long, score double")
+    for salt in (0, 3):
+        made = sparse.product(cells(a), cells(b.T), salt)
+        assert "hashpartitioning(src" not in made._jdf.queryExecution().toString()
+        assert {(r.src, r.trg): r.score for r in made.collect()} == {(i, j): x for (i, j), x in np.ndenumerate(a @ b.T)}
+    e = np.exp((a @ b.T) / 100)
+    soft = e / e.sum(axis=1, keepdims=True)
+    got = {(r.src, r.trg): r.score for r in sparse.pruned_product(cells(a / 100), cells(b.T), 0.03).collect()}
+    assert set(got) == {(i, j) for (i, j), x in np.ndenumerate(soft) if x >= 0.03}
+    assert all(abs(x - soft[k]) < 1e-12 for k, x in got.items())
+
+
+def test_sinkhorn_writes_its_cells_once(spark, monkeypatch):
+    from kinmap.operators import storage
+
+    calls, real = [], storage.store
+    monkeypatch.setattr(storage, "store", lambda df: (calls.append(1), real(df))[1])
+    sim = spark.createDataFrame([(s, t, float((s * 7 + t * 5) % 11)) for s in range(12) for t in range(9) if (s + t) % 4], "src long, trg long, score double")
+    got = sparse.sinkhorn(sim, reg=0.1, rounds=40, tolerance=1e-6).collect()
+    assert len(calls) <= 2
+    assert len(got) == sim.count()
+    columns = {}
+    for r in got:
+        columns[r.trg] = columns.get(r.trg, 0) + r.score
+    assert all(abs(x * 9 - 1) < 1e-6 for x in columns.values())
