@@ -65,3 +65,23 @@ def test_sinkhorn_writes_its_cells_once(spark, monkeypatch):
     for r in got:
         columns[r.trg] = columns.get(r.trg, 0) + r.score
     assert all(abs(x * 9 - 1) < 1e-6 for x in columns.values())
+
+
+def test_vectors_are_summed_whole(spark):
+    """An edge's vector is not taken apart into a row for each of its numbers, unless lengths differ."""
+    sim = spark.createDataFrame([(0, 1, 2.0), (0, 2, 3.0), (1, 2, 1.0)], "src long, trg long, score double")
+    even = spark.createDataFrame([(1, [1.0, 2.0]), (2, [5.0, 7.0])], "id long, vec array<double>")
+    made = sparse.product_with_dense(sim, even)
+    assert "Generate" not in made._jdf.queryExecution().toString()
+    assert {r.id: r.vec for r in made.collect()} == {0: [17.0, 25.0], 1: [5.0, 7.0]}
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [5.0, 7.0])], "id long, vec array<double>")
+    assert {r.id: r.vec for r in sparse.product_with_dense(sim, ragged).collect()} == {0: [17.0, 21.0], 1: [5.0, 7.0]}
+
+
+def test_triples_are_not_gathered_by_relation(spark):
+    from kinmap.operators import graph
+    from kinmap.operators.storage import store
+
+    t = store(spark.createDataFrame([(i, i % 2, (i * 7) % 50) for i in range(200)], "h long, r int, t long"))
+    plan = graph.weighted_adjacency(t)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(r#" not in plan
