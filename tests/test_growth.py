@@ -85,3 +85,21 @@ def test_triples_are_not_gathered_by_relation(spark):
     t = store(spark.createDataFrame([(i, i % 2, (i * 7) % 50) for i in range(200)], "h long, r int, t long"))
     plan = graph.weighted_adjacency(t)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(r#" not in plan
+
+
+def test_factors_read_their_matrix_once(spark, tmp_path):
+    from kinmap.operators import low_rank
+
+    folder = str(tmp_path)
+
+    def cells(frames):
+        import uuid
+
+        for f in frames:
+            if len(f):
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+                yield f.assign(trg=f.src % 3, score=1.0 + f.src)
+
+    m = spark.range(0, 9, 1, 1).toDF("src").mapInPandas(cells, "src long, trg long, score double")
+    low_rank.factors(m, 3, 1)
+    assert len(list(tmp_path.iterdir())) == 1
