@@ -103,3 +103,23 @@ def test_factors_read_their_matrix_once(spark, tmp_path):
     m = spark.range(0, 9, 1, 1).toDF("src").mapInPandas(cells, "src long, trg long, score double")
     low_rank.factors(m, 3, 1)
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_sets_meet_in_blocks(spark, monkeypatch):
+    """Near copies are scored as one block, each set shipped once, not once for each pair; hot groups are cut, and scores stay exact."""
+    from kinmap.operators import lsh
+
+    sets = lambda shift: [(shift + i, [f"w{j}" for j in range(20) if j != i % 20] + [f"g{i % 3}"] * 2) for i in range(30)]
+    tables = [rows + [(rows[0][0], ["w1", "other"]), (rows[-1][0] + 1, [f"alone{shift}", "w1"])] for shift in (0, 100) for rows in [sets(shift)]]
+    a, b = (spark.createDataFrame(t, "id long, tokens array<string>") for t in tables)
+    pairs = [(i, 100 + j) for i in range(30) for j in range(30)] + [(30, 130), (30, 107)]
+    frame = spark.createDataFrame(pairs, "src long, trg long")
+    want = sorted((s, t, len(set(x) & set(y)) / len(set(x) | set(y))) for s, t in pairs for i, x in tables[0] if i == s for j, y in tables[1] if j == t)
+    assert lsh.blocked(frame).select("block", "src").distinct().count() <= 33
+    for side in (1024, 7):
+        monkeypatch.setattr(lsh, "SIDE", side)
+        made = lsh.with_jaccard(frame, a, b)
+        assert "array_intersect" not in made._jdf.queryExecution().toString()
+        assert sorted((r.src, r.trg, r.score) for r in made.collect()) == want
+    assert max(r["count"] for r in lsh.blocked(frame).groupBy("block").count().collect()) < 900
+    assert lsh.with_jaccard(frame.filter("src < 0"), a, b).count() == 0
