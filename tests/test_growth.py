@@ -123,3 +123,29 @@ def test_sets_meet_in_blocks(spark, monkeypatch):
         assert sorted((r.src, r.trg, r.score) for r in made.collect()) == want
     assert max(r["count"] for r in lsh.blocked(frame).groupBy("block").count().collect()) < 900
     assert lsh.with_jaccard(frame.filter("src < 0"), a, b).count() == 0
+
+
+def test_weights_without_a_shuffle_of_counts(spark, monkeypatch):
+    """Neither counts nor weights of documents are shuffled: exchanges are by bucket or by the buckets' tokens. Repeated and null ids, blank texts."""
+    import math
+    from collections import Counter
+
+    from kinmap.operators import tokens
+
+    monkeypatch.setattr(tokens, "BUCKET_BYTES", 40)
+    rows = [(1, "a b\tb\x0bc"), (2, "a a a\n"), (1, "b d"), (None, "c c"), (None, "é a"), (3, " \n "), (4, None), (5, "a c"), (6, "d")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    own = {}
+    for i, text in rows:
+        own.setdefault(i, Counter()).update(w for w in (text or "").replace("\t", " ").replace("\x0b", " ").replace("\n", " ").split(" ") if w)
+    df = Counter(t for c in own.values() for t in c)
+    for vocabulary in (None, {"a", "c"}):
+        raw = {i: {t: n * (math.log((1 + len(rows)) / (df[t] + 1)) + 1) for t, n in c.items() if vocabulary is None or t in vocabulary} for i, c in own.items()}
+        want = {(i, t): w / math.sqrt(sum(x * x for x in c.values())) for i, c in raw.items() for t, w in c.items()}
+        made = tokens.tf_idf(docs, vocabulary and spark.createDataFrame([(t,) for t in vocabulary], "token string"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" not in plan
+        got = {(r.id, r.token): r.weight for r in made.collect()}
+        assert got.keys() == want.keys() and all(abs(x - want[k]) < 1e-12 for k, x in got.items())
+    assert tokens.tf_idf(docs.filter("id > 6")).count() == 0
+    assert tokens.tf_idf(docs.filter("id = 3")).count() == 0
