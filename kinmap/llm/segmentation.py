@@ -91,6 +91,7 @@ class Pieces:
         self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.build_trie()
         self.cut, self.open, self.quick = self.cuts()
+        self.spaced = self.cut.findall(f"a{SPACE}a") == ["a", f"{SPACE}a"]
 
     def cuts(self) -> tuple[re.Pattern, list[str], re.Pattern]:
         """Where words end that no piece goes beyond: before a space that follows another character, around line feeds, and
@@ -140,15 +141,23 @@ class Pieces:
             return []
         if SPACE in text or "\0" in text:
             text = text.replace("\0", "\0\0").replace(SPACE, "\0\1")
-        return (self.cut if any(c in text for c in self.open) else self.quick).findall(SPACE + text.replace(" ", SPACE))
-
-    def decoded(self, ids: np.ndarray) -> tuple[bytes, list[int]]:
+        find = (self.cut if any(c in text for c in self.open) else self.quick).findall
+        if not self.spaced or "  " in text or text[0] == " " or text[-1] == " ":
+            return find(SPACE + text.replace(" ", SPACE))
+        out: list[str] = []
+        for part in text.split(" "):  # words end before each space; letters and digits alone are one word
+            if part.isalnum():
+                out.append(SPACE + part)
+            else:
+                out += find(SPACE + part)
+        return out
+
+    def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The pieces' bytes one after the other, and where each piece begins; the end last."""
         sizes = self.size_of[ids]
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        out = self.table[np.repeat(self.begin_of[ids] - begins, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return out.tobytes(), [*begins.tolist(), int(ends[-1]) if len(ends) else 0]
+        at = np.append(0, np.cumsum(sizes))
+        out = self.table[np.repeat(self.begin_of[ids] - at[:-1], sizes) + np.arange(int(at[-1]))]
+        return out.tobytes(), at
 
     def decode(self, ids) -> str:
         """The text of a segmentation: its bytes without the space put before."""
@@ -215,29 +224,32 @@ class Lattices:
         p = self.pieces
         n, size = chars.shape
         wide = min(p.longest, size)
-        weight, piece = np.zeros((n, size, wide)), np.zeros((n, size, wide), np.int32)  # the longest edge first
-        row, col = np.divmod(np.arange(n * size), size)
-        state = p.head[chars].ravel().astype(np.int64)
+        weight, piece = np.zeros(n * size * wide), np.zeros(n * size * wide, np.int32)  # the longest edge of a cell first
+        flat, cell, left = chars.ravel(), np.arange(n * size), np.tile(np.arange(size, 0, -1, dtype=np.int32), n)
+        state = p.head[flat].astype(np.int64)
         for length in range(1, wide + 1):
             if length > 1:
-                on = np.flatnonzero(col <= size - length)
-                row, col = row[on], col[on]
-                row, col, state = self.step(state[on], row, col, chars[row, col + length - 1])
-                if not len(row):
+                on = np.flatnonzero(left >= length)
+                cell, left = cell[on], left[on]
+                cell, left, state = self.step(state[on], cell, left, flat[cell + (length - 1)])
+                if not len(cell):
                     break
-            weight[row, col, wide - length] = p.weight[state]
-            piece[row, col, wide - length] = p.piece[state]
+            to = cell * wide + (wide - length)
+            weight[to] = p.weight[state]
+            piece[to] = p.piece[state]
         total = np.zeros((n, size + 1))
         total[:, size] = 1.0
+        edges = weight.reshape(n, size, wide)
         for i in range(size - 1, -1, -1):
             k = min(wide, size - i)
-            own = weight[:, i, wide - k :]
+            own = edges[:, i, wide - k :]
             own *= total[:, i + k : i : -1]
             total[:, i] = own.sum(axis=1)
-        weight /= total[:, :size, None]
-        at, ahead = np.nonzero(weight.reshape(n * size, wide))
-        share = weight.reshape(n * size, wide)[at, ahead]
-        ids = piece.reshape(n * size, wide)[at, ahead]
+        known = np.flatnonzero(weight)
+        at = known // wide
+        ahead = known - at * wide
+        share = weight[known] / total[:, :size].ravel()[at]
+        ids = piece[known]
         length = wide - ahead
         counts = np.bincount(at, minlength=n * size)
         first = np.cumsum(counts) - counts
@@ -249,7 +261,7 @@ class Lattices:
         last = at % size + length == size
         self.put(first + e0, below, share, ids, np.where(last, END, n0 + at + length), length)
 
-    def step(self, state: np.ndarray, row: np.ndarray, col: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, state: np.ndarray, cell: np.ndarray, left: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.pieces
         key = state << 21 | char
         slot = (key * SPREAD >> 44) & p.mask
@@ -262,7 +274,7 @@ class Lattices:
             hit[lost[found]] = True
             to[lost[found]] = p.to[where[found]]
         on = np.flatnonzero(hit)
-        return row[on], col[on], to[on].astype(np.int64)
+        return cell[on], left[on], to[on].astype(np.int64)
 
     def put(self, first, below, share, ids, nxt, wide) -> None:
         share = np.minimum(np.asarray(share, float), 1.0)
@@ -445,30 +457,30 @@ class Path:
         return self.base + len(self.sets) < len(self.edges) and not self.ahead + HIGHEST < self.best
 
 
-def open_paths(lattices: Lattices, paths: list[Path], seeds: np.ndarray, some: int = 64) -> None:
+def open_paths(lattices: Lattices, paths: list[Path], seeds: np.ndarray, some: int = 384) -> None:
     """Values of the sets of paths from their ``base`` on, until the largest is known."""
     left = [i for i, p in enumerate(paths) if p.unsure()]
     while left:
         own = [paths[i] for i in left]
         begins = [p.base + len(p.sets) for p in own]
-        ends = [min(len(p.edges), a + some) for p, a in zip(own, begins, strict=True)]
+        ends = [min(len(p.edges), a + (len(p.sets) // 2 or some)) for p, a in zip(own, begins, strict=True)]
         sizes = np.array(ends) - begins
         who = np.repeat(np.arange(len(own)), sizes)
         edges = np.concatenate([p.edges[a:b] for p, a, b in zip(own, begins, ends, strict=True)])
-        run = np.append(0.0, np.cumsum(lattices.logp[edges]))
+        logp = lattices.logp[edges]
+        run = np.append(0.0, np.cumsum(logp))
         stop = np.cumsum(sizes)
         shift = np.array([p.ahead for p in own]) - run[stop - sizes]
         before = run[:-1] + shift[who]
         u = uniform(seeds[left][who] + np.concatenate([p.places[a:b] for p, a, b in zip(own, begins, ends, strict=True)]).astype(np.uint64) * GOLD)
         with np.errstate(divide="ignore"):
-            share = np.exp(lattices.logp[edges])
+            share = np.exp(logp)
             rest = np.log1p(-np.where(share > 1 - 1e-12, 1.0, share))  # of the nodes' other edges
         sets = truncated(before + rest, np.array([p.value for p in own])[who], u)
         for p, a, b, ahead in zip(own, (stop - sizes).tolist(), stop.tolist(), (run[stop] + shift).tolist(), strict=True):
             p.before, p.sets, p.ahead = np.concatenate([p.before, before[a:b]]), np.concatenate([p.sets, sets[a:b]]), ahead
             p.find()
         left = [i for i in left if paths[i].unsure()]
-        some *= 4
 
 
 def sample(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> list[tuple[list[Path], float]]:
@@ -588,6 +600,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[s
             ids = lattices.id[np.concatenate([p.edges for p in every])].astype("<u4") if every else np.zeros(0, "<u4")
             data, at = lattices.pieces.decoded(ids)
             ends = np.cumsum([0, *(len(p.edges) for p in every)]).tolist()
+            at = at[ends].tolist()
             number, logs, chance, crc, back, n = [], [], [], [], [], 0
             for t, (paths, threshold) in zip(texts, found, strict=True):
                 for i, p in enumerate(paths):
@@ -598,7 +611,7 @@ def sampled_segmentations(docs: DataFrame, model: str, k: int = 3, keep: tuple[s
                     logs.append(logp)
                     chance.append(inclusion(logp, threshold))
                     crc.append(zlib.crc32(ids[a:b]))
-                    back.append(data[at[a] + (b > a) : at[b]] == t)
+                    back.append(data[at[n - 1] + (b > a) : at[n]] == t)
             fields = {"sample": pa.array(number, pa.int32()), "n_pieces": pa.array(np.diff(ends)), "log_prob": pa.array(logs, pa.float64()), "perturbed": pa.array([p.value for p in every], pa.float64())}
             fields |= {"log_inclusion": pa.array(chance, pa.float64()), "ids_crc32": pa.array(crc, pa.int64()), "decoded": pa.array(back, pa.bool_())}
             fields["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))

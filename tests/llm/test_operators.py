@@ -438,3 +438,22 @@ def test_pipeline_on_empty_tables(spark, empty):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_words_are_cut_alike_and_few_sets_are_opened():
+    """Words between single spaces are cut without the pattern, as the pattern cuts them; sets are opened little further than is needed."""
+    import public_tokenizers
+
+    from kinmap.llm import segmentation as S
+
+    pieces = S.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    odd = ["a", " a", "a ", "a  b", "a \n b", "a\nb c.d (e) f_g", "\n", "x\t y", "été 12² ٣ a-b", "don't 'tis ''", "日本 語。 x", "\0 a", "▁ a▁b", "-- a --", "a b c"]
+    for text in odd:
+        escaped = text.replace("\0", "\0\0").replace(S.SPACE, "\0\1") if S.SPACE in text or "\0" in text else text
+        find = (pieces.cut if any(c in escaped for c in pieces.open) else pieces.quick).findall
+        assert pieces.words(text) == find(S.SPACE + escaped.replace(" ", S.SPACE)), text
+    texts = [" ".join(f"word{(i * j) % 97} letters and more" for j in range(900)) for i in range(1, 9)]
+    found = S.sample(S.Lattices(pieces), texts, list(range(8)), 1)
+    for (p,), _ in found:
+        need = int((p.before + S.HIGHEST >= p.best).sum())
+        assert need <= len(p.sets) <= max(384, 1.5 * need + 1)
