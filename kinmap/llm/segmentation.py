@@ -30,7 +30,7 @@ import math
 import re
 import zlib
 from array import array
-from itertools import repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 END = -1
 #: Walks of this many words at most go on one by one.
 FEW = 4
+#: What a walk reads of an edge, side by side.
+TURN = np.dtype([("below", np.float32), ("step", np.uint32)])
 SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
@@ -91,7 +93,8 @@ class Pieces:
         self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.build_trie()
         self.cut, self.open, self.quick = self.cuts()
-        self.spaced = self.cut.findall(f"a{SPACE}a") == ["a", f"{SPACE}a"]
+        # the same for texts with their own spaces: most stay ASCII
+        self.find, self.find_quick = (re.compile(x.pattern.replace(SPACE, " ")).findall for x in (self.cut, self.quick))
 
     def cuts(self) -> tuple[re.Pattern, list[str], re.Pattern]:
         """Where words end that no piece goes beyond: before a space that follows another character, around line feeds, and
@@ -135,29 +138,25 @@ class Pieces:
         roots = keys < 1 << 21
         self.head[keys[roots]] = self.to[roots]
 
-    def words(self, text: str) -> list[str]:
-        """The text's words, spaces as the space symbol, one put before. \\0 and what follows stand for a space symbol or a zero in the text itself."""
+    def cut_up(self, text: str) -> list[str]:
+        """The text's words, one space put before. \\0 and what follows stand for a space symbol or a zero in the text itself."""
         if not text:
             return []
         if SPACE in text or "\0" in text:
             text = text.replace("\0", "\0\0").replace(SPACE, "\0\1")
-        find = (self.cut if any(c in text for c in self.open) else self.quick).findall
-        if not self.spaced or "  " in text or text[0] == " " or text[-1] == " ":
-            return find(SPACE + text.replace(" ", SPACE))
-        out: list[str] = []
-        for part in text.split(" "):  # words end before each space; letters and digits alone are one word
-            if part.isalnum():
-                out.append(SPACE + part)
-            else:
-                out += find(SPACE + part)
-        return out
+        return (self.find if any(c in text for c in self.open) else self.find_quick)(" " + text)
+
+    def words(self, text: str) -> list[str]:
+        """``cut_up`` with the space symbol for spaces."""
+        return [w.replace(" ", SPACE) for w in self.cut_up(text)]
 
     def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The pieces' bytes one after the other, and where each piece begins; the end last."""
         sizes = self.size_of[ids]
         at = np.append(0, np.cumsum(sizes))
-        out = self.table[np.repeat(self.begin_of[ids] - at[:-1], sizes) + np.arange(int(at[-1]))]
-        return out.tobytes(), at
+        where = np.repeat(self.begin_of[ids] - at[:-1], sizes)
+        where += np.arange(len(where))
+        return self.table[where].tobytes(), at
 
     def decode(self, ids) -> str:
         """The text of a segmentation: its bytes without the space put before."""
@@ -165,39 +164,39 @@ class Pieces:
 
 
 class Lattices:
-    """Lattices of words in flat arrays: for each edge its node's cumulative probability, its
-    own log-probability, id, next node and width. Forgets all words when there are about ``most``, or
+    """Lattices of words in flat arrays: for each edge its node's cumulative probability (2 for the node's last edge), its
+    own log-probability and id, and its step: from where it stands to the next node's first edge (0: the word ends), times 256,
+    plus its width. A node goes by its first edge. Forgets all words when there are about ``most``, or
     ``most_edges`` edges (long unbroken words)."""
 
     def __init__(self, pieces: Pieces, most: int = 300_000, most_edges: int = 8_000_000):
         self.pieces, self.most, self.most_edges = pieces, most, most_edges
+        self.id = np.zeros(0)
         self.clear()
 
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self.n_nodes = self.n_edges = 0
-        self.first = np.zeros(1 << 16, np.int32)  # of a node's edges
-        self.below = np.zeros(1 << 18, np.float32)
-        self.logp = np.zeros(1 << 18)
-        self.id = np.zeros(1 << 18, np.uint16 if len(self.pieces.bytes) <= 1 << 16 else np.int32)
-        self.next = np.zeros(1 << 18, np.int32)
-        self.wide = np.zeros(1 << 18, np.int8)
-
-    def starts(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """First nodes and lengths of the words of each text. Valid until the next call."""
+        self.n_edges = 0
+        room = self.most_edges + (1 << 18)  # takes memory as it is filled, and is filled anew after that
+        if len(self.id) != room:
+            self.turn, self.logp = np.empty(room, TURN), np.empty(room)
+            self.id = np.empty(room, np.uint16 if len(self.pieces.bytes) <= 1 << 16 else np.int32)
+
+    def starts(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """First nodes and lengths of the words of all texts. Valid until the next call."""
         get = self.start.get
-        found = [np.fromiter(map(get, t, repeat(-1)), np.int64, len(t)) for t in texts]
-        lost = [np.flatnonzero(f < 0) for f in found]
-        new = {t[i] for t, at in zip(texts, lost, strict=True) for i in at.tolist()}
-        if new and self.start and (len(self.start) + len(new) > self.most or self.n_edges > self.most_edges):
-            self.clear()
-            return self.starts(texts)
-        if new:
+        words = list(chain.from_iterable(texts))
+        codes = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(codes < 0)
+        if len(lost):
+            missed = list(map(words.__getitem__, lost.tolist()))
+            new = set(missed)
+            if self.start and (len(self.start) + len(new) > self.most or self.n_edges > self.most_edges):
+                self.clear()
+                return self.starts(texts)
             self.add(new)
-            for t, f, at in zip(texts, found, lost, strict=True):
-                if len(at):
-                    f[at] = [get(t[i]) for i in at.tolist()]
-        return [(f >> 32, f & 0xFFFFFFFF) for f in found]
+            codes[lost] = np.fromiter(map(get, missed), np.int64, len(missed))
+        return codes >> 32, codes & 0xFFFFFFFF
 
     def add(self, words) -> None:
         """Words of up to 32 characters that are all pieces are built together by length, the others one by one."""
@@ -208,7 +207,7 @@ class Lattices:
         for n, same in by_length.items():
             if n > 32:
                 continue
-            chars = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(same), n)
+            chars = np.frombuffer("".join(same).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(same), n)
             known = (self.pieces.piece[self.pieces.head[chars]] >= 0).all(axis=1)
             if not known.all():
                 rest += [w for w, ok in zip(same, known.tolist(), strict=True) if not ok]
@@ -245,7 +244,7 @@ class Lattices:
             own = edges[:, i, wide - k :]
             own *= total[:, i + k : i : -1]
             total[:, i] = own.sum(axis=1)
-        known = np.flatnonzero(weight)
+        known = np.flatnonzero(weight != 0)
         at = known // wide
         ahead = known - at * wide
         share = weight[known] / total[:, :size].ravel()[at]
@@ -256,10 +255,13 @@ class Lattices:
         below = np.cumsum(share)
         below -= np.repeat(below[first] - share[first], counts)
         below[first + counts - 1] = 2.0
-        n0, e0 = self.n_nodes, self.n_edges
-        self.start.update(zip(words, range(n0 << 32 | size, (n0 + n * size) << 32 | size, size << 32), strict=True))
-        last = at % size + length == size
-        self.put(first + e0, below, share, ids, np.where(last, END, n0 + at + length), length)
+        self.start.update(zip(words, ((first[::size] + self.n_edges) << 32 | size).tolist(), strict=True))
+        to = at + length
+        last = to % size == 0
+        to[last] = 0
+        hop = first[to] - np.arange(len(at))
+        hop[last] = 0
+        self.put(below, share, ids, hop, length)
 
     def step(self, state: np.ndarray, cell: np.ndarray, left: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.pieces
@@ -276,28 +278,29 @@ class Lattices:
         on = np.flatnonzero(hit)
         return cell[on], left[on], to[on].astype(np.int64)
 
-    def put(self, first, below, share, ids, nxt, wide) -> None:
-        share = np.minimum(np.asarray(share, float), 1.0)
-        for name, values, at in (("first", first, self.n_nodes), ("below", below, self.n_edges), ("logp", np.log(share), self.n_edges), ("id", ids, self.n_edges), ("next", nxt, self.n_edges), ("wide", wide, self.n_edges)):
-            old = getattr(self, name)
-            if at + len(values) + 1 > len(old):
-                grown = np.zeros((at + len(values)) * 5 // 4 + 1, old.dtype)
-                grown[:at] = old[:at]
+    def put(self, below, share, ids, hop, wide) -> None:
+        e0, e1 = self.n_edges, self.n_edges + len(ids)
+        if e1 > len(self.id):
+            for name in ("turn", "logp", "id"):
+                old = getattr(self, name)
+                grown = np.zeros(e1 * 5 // 4, old.dtype)
+                grown[:e0] = old[:e0]
                 setattr(self, name, grown)
-                old = grown
-            old[at : at + len(values)] = values
-        self.n_nodes += len(first)
-        self.n_edges += len(ids)
-        self.first[self.n_nodes] = self.n_edges
+        self.turn["below"][e0:e1] = below
+        self.turn["step"][e0:e1] = hop << 8 | wide
+        self.logp[e0:e1] = np.log(np.minimum(share, 1.0))
+        self.id[e0:e1] = ids
+        self.n_edges = e1
 
     def add_any(self, words: list[str]) -> None:
         """One word after the other, from the last to the first and each from its end, into flat arrays that are turned round at last.
         Only the totals that a piece can still reach are kept, so a word costs time and memory in proportion to its length."""
         known, rare, longest, byte = self.pieces.edges, self.pieces.rare, self.pieces.longest, self.pieces.byte
         get = known.get
-        share, ids, nxt, wide, counts = array("d"), array("i"), array("q"), array("b"), array("i")  # nxt: nodes counted from the end, -1: none
+        share, ids, nxt, wide, counts = array("d"), array("i"), array("q"), array("B"), array("i")  # nxt: nodes counted from the end, -1: none
         begins = []
-        for word in reversed(words):
+        for given in reversed(words):
+            word = given.replace(" ", SPACE)
             n = len(word)
             escaped = "\0" in word
             reach = longest * (2 if escaped else 1)  # in characters of the word, where some stand for one with the next
@@ -341,18 +344,19 @@ class Lattices:
                 if len(total) > 2 * reach:
                     for b in [b for b in total if b > a + reach]:
                         del total[b], at[b]
-            begins.append((word, n, len(counts) - 1))
-        n0, e0, nodes = self.n_nodes, self.n_edges, len(counts)
-        for word, n, r in begins:
-            self.start[word] = (n0 + nodes - 1 - r) << 32 | n
+            begins.append((given, n, len(counts) - 1))
+        nodes = len(counts)
         own = np.frombuffer(counts, np.int32)[::-1].astype(np.int64)
         first = np.cumsum(own) - own
+        for word, n, r in begins:
+            self.start[word] = (self.n_edges + int(first[nodes - 1 - r])) << 32 | n
         prob = np.frombuffer(share, np.float64)[::-1]
         below = np.cumsum(prob)
         below -= np.repeat(below[first] - prob[first], own)
         below[first + own - 1] = 2.0
         to = np.frombuffer(nxt, np.int64)[::-1]
-        self.put(first + e0, below, prob, np.frombuffer(ids, np.int32)[::-1], np.where(to < 0, END, n0 + nodes - 1 - to), np.frombuffer(wide, np.int8)[::-1])
+        hop = np.where(to < 0, 0, first[nodes - 1 - np.maximum(to, 0)] - np.arange(len(to)))
+        self.put(below, prob, np.frombuffer(ids, np.int32)[::-1], hop, np.frombuffer(wide, np.uint8)[::-1])
 
     @staticmethod
     def escape_at(word: str, i: int) -> bool:
@@ -362,8 +366,19 @@ class Lattices:
             j -= 1
         return (i - j) % 2 == 0
 
-    def node_of(self, edge: int) -> int:
-        return int(np.searchsorted(self.first[: self.n_nodes + 1], np.int32(edge), side="right")) - 1
+    def node_of(self, edge: int) -> tuple[int, int]:
+        """The first edge of this edge's node, and the one behind its last."""
+        below, lo, hi = self.turn["below"], edge, edge
+        while lo and below[lo - 1] < 2:
+            lo -= 1
+        while below[hi] < 2:
+            hi += 1
+        return lo, hi + 1
+
+    def after(self, edge: int) -> tuple[int, int]:
+        """The next node (END: none) and the edge's width."""
+        hop, wide = divmod(int(self.turn["step"][edge]), 256)
+        return edge + hop if hop else END, wide
 
     def walk(self, node: np.ndarray, seed: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ancestral samples of the words that start at these nodes (END: none left).
@@ -371,28 +386,31 @@ class Lattices:
         -> edges in order, the number of edges of each word, and each edge's position. The noise
         depends on the word's seed and the position alone."""
         n = len(node)
+        turn = self.turn.view(np.uint64)
         live = np.flatnonzero(node >= 0)
-        at, where, own = node[live], pos[live], seed[live]
+        e, where, own = node[live], pos[live], seed[live]
         counts = np.zeros(n, np.int64)
         steps = []
         while len(live):
             u = uniform(own + where.astype(np.uint64) * GOLD)
-            e = self.first[at].astype(np.int64)
-            more = np.flatnonzero(u > self.below[e])
+            here = turn[e]
+            below = here.view(TURN)["below"]
+            more = np.flatnonzero(u > below)
             while len(more):
                 e[more] += 1
-                more = more[u[more] > self.below[e[more]]]
+                here[more] = turn[e[more]]
+                more = more[u[more] > below[more]]
             steps.append((live, e, where))
             counts[live] += 1
-            at = self.next[e].astype(np.int64)
+            step = here.view(TURN)["step"]
+            on = np.flatnonzero(step >= 256)
+            step = step[on]
             # the bytes of one character share its position: later bytes have one edge, so no noise is used
-            where = where + self.wide[e]
-            on = np.flatnonzero(at >= 0)
-            live, at, where, own = live[on], at[on], where[on], own[on]
+            live, e, where, own = live[on], e[on] + (step >> 8), where[on] + (step & 255), own[on]
             if len(live) <= FEW:
                 break
         begun = len(steps)
-        tails = [(w, *self.walk_one(*x)) for w, *x in zip(live.tolist(), at.tolist(), own.tolist(), where.tolist(), strict=True)] if len(live) else []
+        tails = [(w, *self.walk_one(*x)) for w, *x in zip(live.tolist(), e.tolist(), own.tolist(), where.tolist(), strict=True)] if len(live) else []
         for w, e, _ in tails:
             counts[w] += len(e)
         offsets = np.cumsum(counts) - counts
@@ -406,7 +424,7 @@ class Lattices:
 
     def walk_one(self, node: int, seed: int, pos: int) -> tuple[array, array]:
         """The rest of one word's sample, as in ``walk``: for the few words that are longer than all others."""
-        first, below, nxt, wide = self.first, self.below, self.next, self.wide
+        below, steps = self.turn["below"], self.turn["step"]
         gold, full = int(GOLD), (1 << 64) - 1
         edges, places = array("q"), array("q")
         while node >= 0:
@@ -415,13 +433,14 @@ class Lattices:
             z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
             z ^= z >> 31
             u = (z >> 11) * 2.0**-53 + 2.0**-54
-            e = int(first[node])
+            e = node
             while u > below[e]:
                 e += 1
             edges.append(e)
             places.append(pos)
-            pos += int(wide[e])
-            node = int(nxt[e])
+            step = int(steps[e])
+            node = e + (step >> 8) if step >= 256 else END
+            pos += step & 255
         return edges, places
 
 
@@ -437,7 +456,7 @@ HIGHEST = 37.5
 
 
 class Path:
-    """One segmentation of one text: its edges, their words and positions. Behind edge ``base`` - 1 sets leave it: the
+    """One segmentation of one text: its edges, where those of each word end, and their positions. Behind edge ``base`` - 1 sets leave it: the
     log-probabilities ``before`` those edges and the sets' values, the largest being ``best``, at edge ``cut``. Values are
     made from the front, as far as one of them can be the largest (see HIGHEST); ``ahead`` is the log-probability before the next edge."""
 
@@ -488,24 +507,24 @@ def sample(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> li
     if not texts:
         return []
     with np.errstate(over="ignore", divide="ignore"):
-        words = [lattices.pieces.words(t) for t in texts]
-        known = lattices.starts(words)
-        nodes = [x for x, _ in known]
-        places = [np.cumsum(x) - x for _, x in known]
+        words = [lattices.pieces.cut_up(t) for t in texts]
+        node, length = lattices.starts(words)
+        bounds = list(pairwise(np.cumsum([0, *map(len, words)]).tolist()))
+        place = np.append(0, np.cumsum(length))
+        nodes, places = [node[a:b] for a, b in bounds], [place[a:b] - place[a] for a, b in bounds]
         base = np.array(seeds, np.uint64)
 
         def seeded(round_: int, use: int) -> np.ndarray:
             return base ^ (np.uint64(round_ * 2 + use + 1) * np.uint64(0xD6E8FEB86659FD93))
 
         def walks(round_: int, which: list[int], node: list[np.ndarray], pos: list[np.ndarray]) -> list[tuple]:
-            """Samples of the words of each text from these nodes: edges, their words' numbers, positions."""
+            """Samples of the words of each text from these nodes: edges, where each word's edges end, positions."""
             sizes = np.array([len(x) for x in node])
             who = np.repeat(np.array(which, np.int64), sizes)
             edges, counts, at = lattices.walk(np.concatenate(node), seeded(round_, 0)[who], np.concatenate(pos))
-            ends = np.cumsum(sizes)
-            number = np.repeat(np.arange(len(who)) - np.repeat(ends - sizes, sizes), counts)
-            cut = np.append(0, np.cumsum(counts))[np.append(0, ends)].tolist()
-            return [(edges[a:b], number[a:b], at[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            own = np.append(0, np.cumsum(sizes))
+            ends = np.append(0, np.cumsum(counts))
+            return [(edges[a:b], ends[i + 1 : j + 1] - a, at[a:b]) for (i, j), (a, b) in zip(pairwise(own.tolist()), pairwise(ends[own].tolist()), strict=True)]
 
         first = (-np.log(-np.log(uniform(seeded(0, 1) + np.uint64(12345))))).tolist()
         found = [[Path(e, w, at, v)] for (e, w, at), v in zip(walks(0, list(range(len(texts))), nodes, places), first, strict=True)]
@@ -523,8 +542,7 @@ def sample(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> li
                     continue
                 t, value = p.cut, p.best
                 taken = gone.setdefault((d, j, t), [int(p.edges[t])])
-                node = lattices.node_of(int(p.edges[t]))
-                lo, hi = int(lattices.first[node]), int(lattices.first[node + 1])
+                lo, hi = lattices.node_of(int(p.edges[t]))
                 share = np.exp(lattices.logp[lo:hi]).tolist()
                 for x in taken:
                     share[x - lo] = 0.0
@@ -545,15 +563,15 @@ def sample(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> li
                 born = born_in[d][j]
                 if p.unsure():
                     open_paths(lattices, [p], seeded(born, 1)[[d]])
-                plan.append((d, p, t, edge, value, int(p.words[t]), here + float(lattices.logp[edge])))
+                plan.append((d, p, t, edge, value, int(np.searchsorted(p.words, t, side="right")), here + float(lattices.logp[edge])))
             if not plan:
                 break
             which = [x[0] for x in plan]
-            begin = [np.concatenate([lattices.next[e : e + 1], nodes[d][w + 1 :]]) for d, _, _, e, _, w, _ in plan]
-            start = [np.concatenate([p.places[t : t + 1] + lattices.wide[e], places[d][w + 1 :]]) for d, p, t, e, _, w, _ in plan]
+            begin = [np.concatenate([[lattices.after(e)[0]], nodes[d][w + 1 :]]) for d, _, _, e, _, w, _ in plan]
+            start = [np.concatenate([p.places[t : t + 1] + lattices.after(e)[1], places[d][w + 1 :]]) for d, p, t, e, _, w, _ in plan]
             new = []
-            for (d, p, t, e, value, w, start_), (edges, number, at) in zip(plan, walks(r, which, begin, start), strict=True):
-                path = Path(np.concatenate([p.edges[:t], [e], edges]), np.concatenate([p.words[: t + 1], number + w]), np.concatenate([p.places[: t + 1], at]), value, t + 1, start_)
+            for (d, p, t, e, value, w, start_), (edges, ends, at) in zip(plan, walks(r, which, begin, start), strict=True):
+                path = Path(np.concatenate([p.edges[:t], [e], edges]), np.concatenate([p.words[:w], ends + (t + 1)]), np.concatenate([p.places[: t + 1], at]), value, t + 1, start_)
                 found[d].append(path)
                 born_in[d].append(r)
                 new.append(path)

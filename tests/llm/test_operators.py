@@ -457,3 +457,30 @@ def test_words_are_cut_alike_and_few_sets_are_opened():
     for (p,), _ in found:
         need = int((p.before + S.HIGHEST >= p.best).sum())
         assert need <= len(p.sets) <= max(384, 1.5 * need + 1)
+
+
+def test_lattices_are_held_narrowly_and_in_place():
+    """Words keep their own spaces (so ASCII stays ASCII), a reset fills the same arrays anew, and a path knows where its words end."""
+    import public_tokenizers
+
+    pieces = segmentation.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the river, and (the) bank\nof it", "  two  spaces ", "été \0 ▁ x² a_b 語", "word " * 300]
+    lattices = segmentation.Lattices(pieces, most_edges=20_000)
+    found = segmentation.sample(lattices, texts, [1, 2, 3, 4], 3)
+    assert all(w.isascii() for w in pieces.cut_up(texts[0])) and set(pieces.cut_up(texts[0])) <= set(lattices.start)
+    for text, (paths, _) in zip(texts, found, strict=True):
+        words = pieces.words(text)
+        for p in paths:
+            assert len(p.words) == len(words) and p.words[-1] == len(p.edges)
+            ids = lattices.id[p.edges].tolist()
+            begins = [0, *p.words.tolist()]
+            assert pieces.decode(ids) == text
+            if "\0" not in text and "▁" not in text:
+                whole = [pieces.decoded(np.array(ids[a:b]))[0].decode() for a, b in zip(begins, begins[1:])]
+                assert whole == [w.replace("▁", " ") for w in words]
+    before = [[lattices.id[p.edges].tolist() for p in paths] for paths, _ in found]
+    arrays = lattices.logp, lattices.id
+    lattices.clear()
+    found = segmentation.sample(lattices, texts, [1, 2, 3, 4], 3)
+    assert lattices.logp is arrays[0] and lattices.id is arrays[1]
+    assert [[lattices.id[p.edges].tolist() for p in paths] for paths, _ in found] == before
